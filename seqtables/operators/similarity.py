@@ -104,7 +104,7 @@ def kmer_search(
 
 def seed_kmers(df: DataFrame, k: int, seeds: int, order: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Table (id, size, seed): the ``seeds`` smallest k-mer hashes of each sequence."""
-    hashed = F.array_sort(F.array_distinct(F.transform(distinct_kmers(F.col("seq"), k), order)))
+    hashed = F.array_sort(F.array_distinct(F.transform(distinct_kmers(F.col("seq"), k), lambda word: order(word))))
     size = F.length("seq").cast("long").alias("size")
     return explode_words(df, F.slice(hashed, 1, seeds), "seed", "id", size)
 
