@@ -130,7 +130,9 @@ def ecdf(df: DataFrame, value: str, group: str, top: float, points: int) -> Data
 def _fill_steps(counted: DataFrame, group: str, points: int) -> DataFrame:
     """Spread (group, i, n) over all grid points with running sums and the group's total."""
     totals = counted.groupBy(group).agg(F.sum("n").alias("total"))
-    grid_rows = totals.select(group, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("long").alias("i"), F.lit(0).alias("n"))
+    grid_rows = totals.select(
+        group, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("i"), F.lit(0).alias("n")
+    )
     window = Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     inside = counted.where(F.col("i") < points).unionByName(grid_rows)
     per_point = inside.groupBy(group, "i").agg(F.sum("n").alias("n"))
