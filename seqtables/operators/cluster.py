@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtables.operators.ordered import dense_ids, number_rows
-from seqtables.operators.similarity import distinct_sequences, jaccard_for_identity, star_pairs
-from seqtables.session import cut
+from seqtables.operators.similarity import compare_stars, distinct_sequences, jaccard_for_identity
+from seqtables.session import cut, spread
 
 REPRESENTATIVE, CLUSTER = "mmseqs_representative", "mmseqs_cluster"
 
@@ -61,8 +61,8 @@ def representatives(
     Identity is estimated from shared k-mers; sequences are compared to the centres of
     their seeds (see ``star_pairs``).
     """
-    single = cut(distinct_sequences(df))
-    edges = star_pairs(single, k, seeds, jaccard_for_identity(identity, k), order)
+    single = spread(cut(distinct_sequences(df)))
+    edges = compare_stars(single, k, seeds, jaccard_for_identity(identity, k), order)
     return single.join(pick_representatives(single, edges), "id").select("seq", "representative")
 
 

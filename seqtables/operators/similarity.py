@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtables.functions.rows import explode_words, once
 from seqtables.functions.sequence import distinct_kmers
 from seqtables.operators.dedupe import top_n
+from seqtables.session import cut, scatter, spread
 
 
 def distinct_sequences(df: DataFrame) -> DataFrame:
@@ -17,18 +20,38 @@ def distinct_sequences(df: DataFrame) -> DataFrame:
     return df.where("seq is not null").groupBy("seq").agg(F.min("id").alias("id")).select("id", "seq")
 
 
+def kmer_codes(text: str, k: int) -> np.ndarray:
+    """The distinct k-mers of an ASCII text as sorted codes: packed bytes up to eight letters, else strings."""
+    letters = np.frombuffer(text.encode("ascii"), dtype=np.uint8)
+    if len(letters) < k:
+        return np.empty(0, dtype=np.uint64)
+    if k > 8:
+        windows = np.lib.stride_tricks.sliding_window_view(letters, k)
+        return np.unique(np.ascontiguousarray(windows).view(f"S{k}").ravel())
+    codes = np.zeros(len(letters) - k + 1, dtype=np.uint64)
+    for offset in range(k):
+        codes = (codes << np.uint64(8)) | letters[offset : len(codes) + offset]
+    return np.unique(codes)
+
+
 def compare_kmers(df: DataFrame, left: str, right: str, k: int) -> DataFrame:
-    """Add the numbers of distinct k-mers of two sequence columns (own, other) and in common (shared)."""
-    sets = F.struct(distinct_kmers(F.col(left), k).alias("a"), distinct_kmers(F.col(right), k).alias("b"))
-    return once(
-        df,
-        sets,
-        lambda p: F.struct(
-            F.size(p["a"]).alias("own"),
-            F.size(p["b"]).alias("other"),
-            F.size(F.array_intersect(p["a"], p["b"])).cast("long").alias("shared"),
-        ),
-    )
+    """Add the numbers of distinct k-mers of two sequence columns (own, other) and in common (shared).
+
+    Set work on whole sequences is far cheaper on packed codes than on arrays of strings.
+    """
+
+    @F.pandas_udf("own long, other long, shared long")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        def count(x: str, y: str) -> tuple[int, int, int]:
+            if x.isascii() and y.isascii():
+                p, q = kmer_codes(x, k), kmer_codes(y, k)
+                return len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))
+            p, q = ({text[i : i + k] for i in range(len(text) - k + 1)} for text in (x, y))
+            return len(p), len(q), len(p & q)
+
+        return pd.DataFrame([count(x, y) for x, y in zip(a, b)], columns=["own", "other", "shared"])
+
+    return df.withColumn("__overlap", overlap(left, right)).select(*df.columns, "__overlap.*")
 
 
 def identity_estimate(jaccard: Column, k: int) -> Column:
@@ -47,27 +70,37 @@ def kmer_search(
 ) -> DataFrame:
     """Best subjects per query by shared distinct k-mers, ties to the smaller subject id.
 
-    Only subjects holding at least ``min_coverage`` of the query's k-mers count. Such a
-    subject must hold one of the query's rarest k-mers (all but the share it may miss), so
-    probing those alone finds every one. Copies of a subject are searched once and the
-    smallest ids put back afterwards.
+    Only subjects holding at least ``need``, the share ``min_coverage`` of the query's n
+    k-mers, count. Of any n - need + j k-mers such a subject holds at least j. So the rarest
+    ones are probed, with j a quarter of ``need``: common k-mers are never joined, and no
+    subject is missed. Copies of a subject are searched once and the smallest ids put back
+    afterwards.
     """
     asked = queries.where("seq is not null").select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq"))
     single = distinct_sequences(subjects).select(F.col("id").alias("group_id"), F.col("seq").alias("subject_seq"))
     query_words = explode_words(asked, distinct_kmers(F.col("query_seq"), k), "word", "query_id")
-    query_words = query_words.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     held = explode_words(single, distinct_kmers(F.col("subject_seq"), k), "word", "group_id")
+    # Subject k-mers that no query holds go first; the rest is read twice, so it is written out.
+    held = cut(held.join(query_words.select("word").distinct(), "word", "left_semi"))
     seen = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rarity = Window.partitionBy("query_id").orderBy("df", "word")  # one query's own k-mers
+    own = Window.partitionBy("query_id")  # one query's own k-mers
+    need = F.ceil(F.col("n") * F.lit(min_coverage))
     probes = (
         query_words.join(seen, "word", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
-        .withColumn("rank", F.row_number().over(rarity))
-        .where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.lit(min_coverage)) + 1)
-        .where("df > 0")
-        .select("query_id", "word")
+        .withColumn("n", F.count(F.lit(1)).over(own))
+        .withColumn("rank", F.row_number().over(own.orderBy("df", "word")))
+        .withColumn("hits", F.greatest(F.lit(1), F.ceil(need / 4)))
+        .where((F.col("rank") <= F.col("n") - need + F.col("hits")) & (F.col("df") > 0))
     )
-    candidates = probes.join(held, "word").select("query_id", "group_id").distinct()
+    candidates = (
+        probes.join(held, "word")
+        .groupBy("query_id", "group_id")
+        .agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits"))
+        .where(F.col("found") >= F.col("hits"))
+        .select("query_id", "group_id")
+    )
+    candidates = scatter(candidates)
     joined = candidates.join(asked, "query_id").join(single, "group_id")
     scored = (
         compare_kmers(joined, "query_seq", "subject_seq", k)
@@ -103,30 +136,50 @@ def kmer_search(
 
 
 def seed_kmers(df: DataFrame, k: int, seeds: int, order: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """Table (id, size, seed): the ``seeds`` smallest k-mer hashes of each sequence."""
-    hashed = F.array_sort(F.array_distinct(F.transform(distinct_kmers(F.col("seq"), k), lambda word: order(word))))
+    """Table (id, size, words, seed): length, number of distinct k-mers, the smallest k-mer hashes."""
+
+    def pick(words: Column) -> Column:
+        hashed = F.array_distinct(F.transform(words, lambda word: order(word)))
+        smallest = F.slice(F.array_sort(hashed), 1, seeds)
+        return F.struct(F.size(words).alias("words"), smallest.alias("smallest"))
+
     size = F.length("seq").cast("long").alias("size")
-    return explode_words(df, F.slice(hashed, 1, seeds), "seed", "id", size)
+    counted = once(df.select("id", "seq", size), distinct_kmers(F.col("seq"), k), pick)
+    return explode_words(counted, F.col("smallest"), "seed", "id", "size", "words")
 
 
 def star_pairs(
     df: DataFrame, k: int, seeds: int, min_jaccard: float, order: Callable[[Column], Column] = F.xxhash64
 ) -> DataFrame:
-    """Pairs (id, center, jaccard) of distinct sequences that share a seed with a longer one.
+    """Pairs (id, center, shared, jaccard) of distinct sequences that share a seed with a longer one.
 
     Each seed's longest sequence (ties to the smallest id) is its centre and is compared to
     the other holders only, so the number of comparisons grows with the rows, not with
-    their square, whatever share of them a seed holds.
+    their square, whatever share of them a seed holds. Pairs whose k-mer counts alone rule
+    the index out are never compared.
     """
-    single = distinct_sequences(df)
-    seeded = seed_kmers(single, k, seeds, order)
-    centers = seeded.groupBy("seed").agg(F.min(F.struct((-F.col("size")).alias("less"), "id")).alias("center"))
+    single = spread(cut(distinct_sequences(df)))
+    return compare_stars(single, k, seeds, min_jaccard, order)
+
+
+def compare_stars(
+    single: DataFrame, k: int, seeds: int, min_jaccard: float, order: Callable[[Column], Column] = F.xxhash64
+) -> DataFrame:
+    """``star_pairs`` of a table of distinct sequences."""
+    seeded = cut(seed_kmers(single, k, seeds, order))
+    centers = seeded.groupBy("seed").agg(
+        F.min(F.struct((-F.col("size")).alias("less"), "id", "words")).alias("center")
+    )
+    small, large = F.least("words", "center_words"), F.greatest("words", "center_words")
     candidates = (
-        seeded.join(centers.select("seed", F.col("center.id").alias("center")), "seed")
-        .where("id != center")
+        seeded.join(
+            centers.select("seed", F.col("center.id").alias("center"), F.col("center.words").alias("center_words")),
+            "seed",
+        )
+        .where((F.col("id") != F.col("center")) & (small >= large * F.lit(min_jaccard)))
         .select("id", "center")
-        .distinct()
     )
+    candidates = scatter(candidates).distinct()
     centered = single.select(F.col("id").alias("center"), F.col("seq").alias("center_seq"))
     compared = compare_kmers(candidates.join(single, "id").join(centered, "center"), "seq", "center_seq", k)
     jaccard = F.col("shared") / (F.col("own") + F.col("other") - F.col("shared"))

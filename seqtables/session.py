@@ -70,3 +70,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scatter(df: DataFrame) -> DataFrame:
+    """Small rows that stand for heavy work, over all shuffle partitions.
+
+    Adaptive execution merges partitions by their bytes, which says nothing about the work
+    that a pair of ids stands for.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *df.columns)
