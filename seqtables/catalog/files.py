@@ -33,7 +33,7 @@ select start, stop, strand, id as "ID", partial, 'ATG' as start_type, 'None' as
        cast('0.' || cast(10 + start % 90 as varchar) as double) as gc_content from {genes}"""
 )
 def parse_prodigal_header(t):
-    return t.headers.select(parsing.parse_prodigal(F.col("description")).alias("h")).select("h.*")
+    return t.headers.select(F.inline(F.array(parsing.parse_prodigal(F.col("description")))))
 
 
 @query("select id, partial, 'ATG' as start_type, '0.' || cast(10 + start % 90 as varchar) as gc_cont from {genes}")

@@ -47,12 +47,12 @@ from {{lineitem}}""",
     # Genes that lie inside the contigs of ``dna``.
     "contig_genes": f"""
 select {_LINE_ID} as id, l_suppkey as contig_id,
-       1 + (l_partkey * 7) % greatest(1, length(d.nt) - 3 * cast(l_quantity as bigint)) as start,
-       1 + (l_partkey * 7) % greatest(1, length(d.nt) - 3 * cast(l_quantity as bigint)) + 3 * cast(l_quantity as bigint) - 1 as stop,
+       1 + (l_partkey * 7) % greatest(1, d.size - 3 * cast(l_quantity as bigint)) as start,
+       1 + (l_partkey * 7) % greatest(1, d.size - 3 * cast(l_quantity as bigint)) + 3 * cast(l_quantity as bigint) - 1 as stop,
        case when l_linestatus = 'O' then 1 else -1 end as strand,
        case when l_returnflag = 'A' then 11 when l_returnflag = 'R' then 4 else 25 end as translation_table
-from {{lineitem}} join {{dna}} d on l_suppkey = d.id
-where length(d.nt) >= 3 * cast(l_quantity as bigint)""",
+from {{lineitem}} join (select id, length(nt) as size from {{dna}}) d on l_suppkey = d.id
+where d.size >= 3 * cast(l_quantity as bigint)""",
     "headers": """
 select id, concat('# ', cast(start as string), ' # ', cast(stop as string), ' # ', cast(strand as string), ' # ID=', id,
        ';partial=', partial, ';start_type=ATG;rbs_motif=None;rbs_spacer=None;gc_cont=0.', cast(10 + start % 90 as string)) as description

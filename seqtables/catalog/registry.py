@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seqtables.catalog import fixtures
 from seqtables.session import spread
 
-HEAVY = ("documents",)  # long texts: row work outweighs a shuffle
+HEAVY = ("documents", "lineitem", "embeddings")  # row work outweighs a shuffle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

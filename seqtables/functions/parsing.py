@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqtables.functions.rows import let
+
 # Header fields, taxonomy levels and identifier patterns.
 PRODIGAL_FIELDS = (
     ("start", "long", "([\\d]+)"),
@@ -30,13 +32,17 @@ def parse_prodigal(description: Column) -> Column:
     pattern = "(?s)^.*?# " + "".join(group for _, _, group in PRODIGAL_FIELDS) + ".*$"
     groups = "\t".join(f"${i + 1}" for i in range(len(PRODIGAL_FIELDS)))
     parts = F.split(F.regexp_replace(description, pattern, groups), "\t")
-    fits = F.size(parts) == len(PRODIGAL_FIELDS)
-    return F.struct(
-        *[
-            F.when(fits, F.get(parts, F.lit(i))).try_cast(kind).alias(name)
-            for i, (name, kind, _) in enumerate(PRODIGAL_FIELDS)
-        ]
-    )
+
+    def fields(parts: Column) -> Column:
+        fits = F.size(parts) == len(PRODIGAL_FIELDS)
+        return F.struct(
+            *[
+                F.when(fits, F.get(parts, F.lit(i))).try_cast(kind).alias(name)
+                for i, (name, kind, _) in enumerate(PRODIGAL_FIELDS)
+            ]
+        )
+
+    return let(parts, fields)
 
 
 def parse_kv(description: Column) -> Column:

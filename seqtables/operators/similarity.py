@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqtables.functions.rows import explode_words, once
 from seqtables.functions.sequence import distinct_kmers
 from seqtables.operators.dedupe import top_n
-from seqtables.session import cut, scatter, spread
+from seqtables.session import broadcast_small, cut, scatter, spread
 
 
 def distinct_sequences(df: DataFrame) -> DataFrame:
@@ -38,16 +38,29 @@ def compare_kmers(df: DataFrame, left: str, right: str, k: int) -> DataFrame:
     """Add the numbers of distinct k-mers of two sequence columns (own, other) and in common (shared).
 
     Set work on whole sequences is far cheaper on packed codes than on arrays of strings.
+    Rows next to each other with the same right sequence read its codes once.
     """
 
     @F.pandas_udf("own long, other long, shared long")
     def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        last: tuple[str | None, np.ndarray | None] = (None, None)
+
+        def codes_of(text: str) -> np.ndarray:
+            nonlocal last
+            if text != last[0]:
+                last = (text, kmer_codes(text, k))
+            return last[1]
+
         def count(x: str, y: str) -> tuple[int, int, int]:
-            if x.isascii() and y.isascii():
-                p, q = kmer_codes(x, k), kmer_codes(y, k)
-                return len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))
-            p, q = ({text[i : i + k] for i in range(len(text) - k + 1)} for text in (x, y))
-            return len(p), len(q), len(p & q)
+            if not (x.isascii() and y.isascii()):
+                p, q = ({text[i : i + k] for i in range(len(text) - k + 1)} for text in (x, y))
+                return len(p), len(q), len(p & q)
+            p, q = kmer_codes(x, k), codes_of(y)
+            if not (len(p) and len(q)):
+                return len(p), len(q), 0
+            few, many = (p, q) if len(p) < len(q) else (q, p)
+            at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+            return len(p), len(q), int(np.count_nonzero(many[at] == few))
 
         return pd.DataFrame([count(x, y) for x, y in zip(a, b)], columns=["own", "other", "shared"])
 
@@ -66,14 +79,19 @@ def jaccard_for_identity(identity: float, k: int) -> float:
 
 
 def kmer_search(
-    queries: DataFrame, subjects: DataFrame, k: int = 5, max_subjects: int = 10, min_coverage: float = 0.5
+    queries: DataFrame,
+    subjects: DataFrame,
+    k: int = 5,
+    max_subjects: int = 10,
+    min_coverage: float = 0.5,
+    probe_share: float = 0.75,
 ) -> DataFrame:
     """Best subjects per query by shared distinct k-mers, ties to the smaller subject id.
 
     Only subjects holding at least ``need``, the share ``min_coverage`` of the query's n
     k-mers, count. Of any n - need + j k-mers such a subject holds at least j. So the rarest
-    ones are probed, with j a quarter of ``need``: common k-mers are never joined, and no
-    subject is missed. Copies of a subject are searched once and the smallest ids put back
+    ones are probed, with j the ``probe_share`` of ``need``: the most common k-mers are never
+    joined, and no subject is missed. Copies of a subject are searched once and the smallest ids put back
     afterwards.
     """
     asked = queries.where("seq is not null").select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq"))
@@ -81,7 +99,8 @@ def kmer_search(
     query_words = explode_words(asked, distinct_kmers(F.col("query_seq"), k), "word", "query_id")
     held = explode_words(single, distinct_kmers(F.col("subject_seq"), k), "word", "group_id")
     # Subject k-mers that no query holds go first; the rest is read twice, so it is written out.
-    held = cut(held.join(query_words.select("word").distinct(), "word", "left_semi"))
+    wanted = cut(query_words.select("word").distinct())
+    held = cut(held.join(broadcast_small(wanted), "word", "left_semi"))
     seen = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     own = Window.partitionBy("query_id")  # one query's own k-mers
     need = F.ceil(F.col("n") * F.lit(min_coverage))
@@ -90,17 +109,18 @@ def kmer_search(
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .withColumn("n", F.count(F.lit(1)).over(own))
         .withColumn("rank", F.row_number().over(own.orderBy("df", "word")))
-        .withColumn("hits", F.greatest(F.lit(1), F.ceil(need / 4)))
+        .withColumn("hits", F.greatest(F.lit(1), F.ceil(need * F.lit(probe_share))))
         .where((F.col("rank") <= F.col("n") - need + F.col("hits")) & (F.col("df") > 0))
+        .select("query_id", "word", "hits")
     )
     candidates = (
-        probes.join(held, "word")
+        held.join(broadcast_small(cut(probes)), "word")
         .groupBy("query_id", "group_id")
         .agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits"))
         .where(F.col("found") >= F.col("hits"))
         .select("query_id", "group_id")
     )
-    candidates = scatter(candidates)
+    candidates = scatter(candidates).sortWithinPartitions("group_id")
     joined = candidates.join(asked, "query_id").join(single, "group_id")
     scored = (
         compare_kmers(joined, "query_seq", "subject_seq", k)
@@ -179,7 +199,7 @@ def compare_stars(
         .where((F.col("id") != F.col("center")) & (small >= large * F.lit(min_jaccard)))
         .select("id", "center")
     )
-    candidates = scatter(candidates).distinct()
+    candidates = scatter(candidates).distinct().sortWithinPartitions("center")
     centered = single.select(F.col("id").alias("center"), F.col("seq").alias("center_seq"))
     compared = compare_kmers(candidates.join(single, "id").join(centered, "center"), "seq", "center_seq", k)
     jaccard = F.col("shared") / (F.col("own") + F.col("other") - F.col("shared"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -80,3 +81,11 @@ def scatter(df: DataFrame) -> DataFrame:
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(partitions, *df.columns)
+
+
+def broadcast_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if a count proves it small, else as it is.
+
+    For tables of short rows that are already written out, so that the count is cheap.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

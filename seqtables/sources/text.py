@@ -55,9 +55,12 @@ def parse_fasta_records(records: DataFrame, parser: Callable[[Column], Column] =
     rows = records.select("*", header.alias("__header"), name.alias("id"), body.alias("__body")).where("id != ''")
     description = F.trim(F.replace("__header", F.col("id"), F.lit("")))
     extra = [c for c in records.columns if c != "value"]
-    parsed = rows.withColumn("__fields", parser(description))
-    fields = ["__fields.*"] if parsed.schema["__fields"].dataType.typeName() == "struct" else [F.col("__fields").alias("fields")]
-    return parsed.select(*extra, "id", *fields, F.regexp_replace("__body", "[\\s*]", "").alias("seq"))
+    seq = F.regexp_replace("__body", "[\\s*]", "").alias("seq")
+    fields = parser(description)
+    if rows.select(fields.alias("f")).schema["f"].dataType.typeName() != "struct":
+        return rows.select(*extra, "id", fields.alias("fields"), seq)
+    # One struct per row through inline: the header is parsed once for all its fields.
+    return rows.select(*extra, "id", F.inline(F.array(fields)), seq)
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], parser: Callable[[Column], Column] = parse_none) -> DataFrame:
