@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqtables.session import stack
+
 
 def results_star(predictions: DataFrame, genes: DataFrame, annotations: DataFrame, copies: DataFrame, genomes: DataFrame) -> DataFrame:
     """Predictions with gene data, annotations (one row each), copy numbers and genome data.
@@ -57,7 +59,7 @@ def model_outputs(extended: DataFrame, outputs: Mapping[str, DataFrame]) -> Data
 def union_tables(parts: Mapping[str, DataFrame], name: str = "dataset") -> DataFrame:
     """All tables below each other with their name; missing columns become null."""
     named = [df.withColumn(name, F.lit(part)) for part, df in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+    return stack(*named, allow_missing=True)
 
 
 def shared_ids(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -70,7 +72,7 @@ def source_only(left: DataFrame, right: DataFrame, key: str, names: tuple[str, s
     """Rows with a non-null key found in one table alone, tagged with that table's name."""
     held = lambda df: df.where(F.col(key).isNotNull())
     only = lambda a, b, name: held(a).join(b.select(key), key, "left_anti").withColumn(tag, F.lit(name))
-    return only(left, right, names[0]).unionByName(only(right, left, names[1]), allowMissingColumns=True)
+    return stack(only(left, right, names[0]), only(right, left, names[1]), allow_missing=True)
 
 
 def consolidate_embeddings(

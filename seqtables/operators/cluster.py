@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqtables.operators.ordered import dense_ids, number_rows
 from seqtables.operators.similarity import compare_stars, distinct_sequences, jaccard_for_identity
-from seqtables.session import cut, spread
+from seqtables.session import cut, spread, stack
 
 REPRESENTATIVE, CLUSTER = "mmseqs_representative", "mmseqs_cluster"
 
@@ -50,7 +50,7 @@ def pick_representatives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .agg(F.min(F.struct((-F.col("jaccard")).alias("less"), "center")).alias("best"))
         .select("id", F.col("best.center").alias("representative"))
     )
-    return joined.unionByName(reps.select(F.col("center").alias("id"), F.col("center").alias("representative")))
+    return stack(joined, reps.select(F.col("center").alias("id"), F.col("center").alias("representative")))
 
 
 def representatives(
@@ -96,7 +96,7 @@ def connected_components(edges: DataFrame, source: str = "src", target: str = "d
     long chains close in a logarithmic number of rounds.
     """
     both = edges.select(F.col(source).alias("a"), F.col(target).alias("b"))
-    both = cut(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = cut(stack(both, both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(
         both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label"))
     )

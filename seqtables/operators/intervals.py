@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtables.operators.ordered import running_sums
+from seqtables.session import stack
 
 RNA_FEATURES = ("tRNA", "ncRNA", "rRNA", "misc_RNA")  # fixed values
 MISC_FEATURES = ("misc_feature", "mobile_element", "repeat_region")  # fixed values
@@ -28,10 +29,12 @@ def overlap_counts(queries: DataFrame, refs: DataFrame, block_width: int = 1 <<
         "contig_id", place.alias("pos"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed")
     )
     points = (
-        point(refs, F.col("start"), 1, 0)
-        .unionByName(point(refs, F.col("stop") + 1, 0, 1))
-        .unionByName(point(wanted, F.col("start"), 0, 0))
-        .unionByName(point(wanted, F.col("stop"), 0, 0))
+        stack(
+            point(refs, F.col("start"), 1, 0),
+            point(refs, F.col("stop") + 1, 0, 1),
+            point(wanted, F.col("start"), 0, 0),
+            point(wanted, F.col("stop"), 0, 0),
+        )
         .groupBy("contig_id", "pos")
         .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
     )
@@ -60,14 +63,14 @@ def best_valid_hits(queries: DataFrame, refs: DataFrame) -> DataFrame:
     ends = ["contig_id", "strand", "start", "stop"]
     named = F.struct("locus_tag", "feature", "pseudo")
     merged = (
-        refs.select(*ends, named.alias("ref"), F.lit(1).alias("n_ref"), F.lit(False).alias("asked"))
-        .unionByName(
+        stack(
+            refs.select(*ends, named.alias("ref"), F.lit(1).alias("n_ref"), F.lit(False).alias("asked")),
             queries.select(
                 *ends,
                 F.lit(None).cast(refs.select(named).schema[0].dataType).alias("ref"),
                 F.lit(0).alias("n_ref"),
                 F.lit(True).alias("asked"),
-            )
+            ),
         )
         .groupBy(*ends)
         .agg(F.min("ref").alias("ref"), F.sum("n_ref").alias("n_ref"), F.max("asked").alias("asked"))

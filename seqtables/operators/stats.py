@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from seqtables.operators.ordered import running_sums
+from seqtables.session import stack
 
 
 def share(condition: Column) -> Column:
@@ -134,7 +135,7 @@ def _fill_steps(counted: DataFrame, group: str, points: int) -> DataFrame:
         group, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("i"), F.lit(0).alias("n")
     )
     window = Window.partitionBy(group).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    inside = counted.where(F.col("i") < points).unionByName(grid_rows)
+    inside = stack(counted.where(F.col("i") < points), grid_rows)
     per_point = inside.groupBy(group, "i").agg(F.sum("n").alias("n"))
     return per_point.withColumn("upto", F.sum("n").over(window)).join(totals, group)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtables.functions.sequence import count_of, first_index, has_marker, last_index, truncate_c, truncate_n
+from seqtables.session import stack
 
 
 def truncated(terminus: str, marker: str, min_length: int, **options) -> Column:
@@ -52,7 +53,7 @@ def truncate_classes(df: DataFrame, marker: str = "U", min_length: int = 10) ->
     """Truncate label 1 at the C-terminal and label 3 at the N-terminal side; other labels pass."""
     whole = df.where(~F.col("label").isin(1, 3)).withColumn("id", F.col("id").cast("string"))
     ends = [truncate_frame(df.where(F.col("label") == label), end, marker, min_length) for label, end in ((1, "c"), (3, "n"))]
-    return whole.unionByName(ends[0], allowMissingColumns=True).unionByName(ends[1], allowMissingColumns=True)
+    return stack(whole, *ends, allow_missing=True)
 
 
 def detection_limit(df: DataFrame, marker: str = "U", limit: int = 30, starts: Sequence[str] = ("M", "V")) -> DataFrame:

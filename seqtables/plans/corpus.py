@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 from seqtables.operators.clean import assign_classes, clean_corpus
 from seqtables.operators.cluster import CLUSTER, cluster, dereplicate, group_split
 from seqtables.operators.truncate import truncate_classes
+from seqtables.session import stack
 from seqtables.sources.proteins import read_protein_xml
 from seqtables.sources.store import stage, write_splits
 
@@ -35,7 +34,7 @@ def build_corpus(
         stage(spark, f"{folder}/entries/{i}", lambda path=path: read_protein_xml(spark, path), overwrite)
         for i, path in enumerate(paths)
     ]
-    entries = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    entries = stack(*parts, allow_missing=True)
     corpus = stage(spark, f"{folder}/prepared_{classes}c", lambda: prepare(entries, classes, marker), overwrite)
     write_splits(split(corpus, seed=seed), f"{folder}/corpus_{classes}c")
     return spark.read.parquet(f"{folder}/corpus_{classes}c")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +90,14 @@ def broadcast_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     For tables of short rows that are already written out, so that the count is cheap.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def stack(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """The rows of all frames, columns matched by name.
+
+    Spark 4.1 lets a union keep the partitioning that its inputs share. Where such a union
+    meets reused exchanges it gave wrong rows (see the gene plan's test), so the sessions
+    that stack tables plan their unions without it.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
