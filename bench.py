@@ -1,7 +1,7 @@
 """Time registered queries and print one JSON line.
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the cores, BENCH_QUERIES (comma-separated, or
-'all') the queries; every query is run once to warm up and then timed.
+'all') the queries, BENCH_REPEATS the runs whose median counts. One query warms the session.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from seqtables.catalog import QUERIES
@@ -37,9 +38,10 @@ def main() -> None:
     names = list(QUERIES) if asked == "all" else asked.split(",") if asked else HEADLINE
     spark = local_session(cpus, partitions=int(cpus) if cpus.isdigit() else 8, app="seqtables-bench")
     seconds = {}
+    run(spark, folder, "histogram")
     for name in names:
-        run(spark, folder, name)
         seconds[name] = round(statistics.median(run(spark, folder, name) for _ in range(repeats)), 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     scale = folder.rstrip("/").rsplit("sf", 1)[-1]
     line = {"metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec"}
     print(json.dumps({**line, "queries": seconds, "sf": float(scale) if scale.replace(".", "").isdigit() else scale}))
