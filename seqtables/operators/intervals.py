@@ -24,16 +24,18 @@ def overlap_counts(queries: DataFrame, refs: DataFrame, block_width: int = 1 <<
     Overlapping features = those that start at or before the stop, less those that stop
     before the start.
     """
-    wanted = queries.select("contig_id", "start", "stop").distinct()
-    point = lambda frame, place, opened, closed: frame.select(
-        "contig_id", place.alias("pos"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed")
-    )
+    def points_of(frame: DataFrame, first: tuple[Column, int, int], last: tuple[Column, int, int]) -> DataFrame:
+        ends = [
+            F.struct(place.alias("pos"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed"))
+            for place, opened, closed in (first, last)
+        ]
+        return frame.select("contig_id", F.inline(F.array(*ends)))
+
+    start, stop = F.col("start"), F.col("stop")
     points = (
         stack(
-            point(refs, F.col("start"), 1, 0),
-            point(refs, F.col("stop") + 1, 0, 1),
-            point(wanted, F.col("start"), 0, 0),
-            point(wanted, F.col("stop"), 0, 0),
+            points_of(refs, (start, 1, 0), (stop + 1, 0, 1)),
+            points_of(queries, (start, 0, 0), (stop, 0, 0)),
         )
         .groupBy("contig_id", "pos")
         .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
@@ -45,13 +47,12 @@ def overlap_counts(queries: DataFrame, refs: DataFrame, block_width: int = 1 <<
         group=["contig_id"],
         block=F.floor(F.col("pos") / block_width),
     )
-    at_stop = counted.select("contig_id", F.col("pos").alias("stop"), "n_opened")
-    at_start = counted.select("contig_id", F.col("pos").alias("start"), "n_closed")
-    return (
-        wanted.join(at_stop, ["contig_id", "stop"])
-        .join(at_start, ["contig_id", "start"])
-        .select("contig_id", "start", "stop", (F.col("n_opened") - F.col("n_closed")).alias("n_hits"))
-    )
+    # Both ends of an interval look their count up in one join and meet again in a sum.
+    ends = [F.struct(place.alias("pos"), F.lit(last).alias("last")) for place, last in ((start, False), (stop, True))]
+    wanted = queries.select("contig_id", "start", "stop").distinct()
+    looked_up = wanted.select("*", F.inline(F.array(*ends))).join(counted, ["contig_id", "pos"])
+    share = F.when(F.col("last"), F.col("n_opened")).otherwise(-F.col("n_closed"))
+    return looked_up.groupBy("contig_id", "start", "stop").agg(F.sum(share).alias("n_hits"))
 
 
 def best_valid_hits(queries: DataFrame, refs: DataFrame) -> DataFrame:
