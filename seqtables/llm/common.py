@@ -40,3 +40,16 @@ def fresh(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def lightest(df: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
+    """``df``, narrow and already written out, marked for broadcast if it has at most ``max_rows`` rows.
+
+    Beyond that it stays as it is, and joins with it shuffle. The rows are the same either way.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def keep_rows(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``dropped`` (one column ``gone``); rows without id stay."""
+    return docs.join(lightest(dropped.distinct()), F.col(doc_id) == F.col("gone"), "left_anti")
