@@ -1,8 +1,9 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from seqtables.llm import exact_dedup, mixing, near_dedup
+from seqtables.llm import exact_dedup, line_dedup, mixing, near_dedup
 
 QUERIES = {
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_mixing": mixing.op9_mixing,
