@@ -1,8 +1,9 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from seqtables.llm import exact_dedup, line_dedup, mixing, near_dedup
+from seqtables.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup
 
 QUERIES = {
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
@@ -10,6 +11,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_decontamination": decontaminate.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
