@@ -1,8 +1,10 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from seqtables.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup
+from seqtables.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, secrets
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op2_secrets": secrets.op2_secrets,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_near_dedup": near_dedup.op7_near_dedup,
