@@ -4,60 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqtables.llm.common import settled
 from seqtables.llm.graph import components
-from seqtables.session import cut
 
+GROWTH = 8
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], few: int = 24) -> DataFrame:
-    """Components (id, component) of the ids that true links inside buckets connect.
 
-    members: (bucket, id), each pair once. verify: takes distinct pairs (a, b), a < b, and
-    returns (a, b, linked, near): linked is the exact decision; near must be true wherever the
-    distance can be at most twice the largest distance of a link.
+def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components (id, component) of the ids that true links inside buckets connect.
 
-    Every pair of a bucket is either verified, or its two ids are already known to be in one
-    component, or the triangle inequality of the distance rules the link out:
+    members: (bucket, id, size), each bucket and id once; size is that of the set behind an id,
+    and sets whose sizes differ too much for ``percent`` of common elements are not compared.
+    verify: takes distinct pairs (a, b), a < b, and returns (a, b, linked).
 
-    * a bucket compares all members with its smallest one, the pivot, in rows that grow with
-      the bucket, not with its square;
-    * what is still open splits into the members near the pivot and those not linked with it.
-      Two linked members are always together in one of the two, since a member within the link
-      distance of the pivot has all its partners within twice that distance;
-    * a part whose members are all in one component is done; a part of at most ``few`` members
-      compares those of different components directly, a larger one gets a pivot of its own.
+    Members are ranked in their bucket. First all are compared with the first one; then, in
+    rounds over ranks 2 to 15, 16 to 127 and so on, with those of other components than their
+    own. A pair is left out only if its ends are known to be in one component, so no link
+    between components is lost, while copies of one text, however many, drop out after a
+    round or two. Members of the bucket's lowest component are only compared with others.
     """
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    state = members.join(shared, "bucket").select("bucket", "id", F.col("id").alias("component"))
+    order = Window.partitionBy("bucket").orderBy("id")
+    ranked = members.withColumn("rank", F.row_number().over(order)).select(
+        "bucket", "id", "size", "rank", F.col("id").alias("component")
+    )
+    state = settled(ranked)
     links: DataFrame | None = None
+    tested: DataFrame | None = None
+    low, high = 1, 2
     while True:
-        sizes = state.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"))
-        sized = cut(state.join(sizes, "bucket"))
-        stars = sized.where("id <> pivot")
-        pairs = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        if links is not None:
-            stars = stars.where(F.col("n") > few)
-            little = sized.where(F.col("n") <= few).select("bucket", "id", "component")
-            x, y = little.alias("x"), little.alias("y")
-            direct = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.id < y.id and x.component <> y.component")
-            pairs = stars.select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(direct.select("x.id", "y.id"))
-        checked = cut(verify(cut(pairs.distinct())))
+        least = state.groupBy("bucket").agg(F.min("component").alias("main"))
+        x = state.join(least, "bucket").where("component <> main").drop("main").alias("x")
+        y = state.where((F.col("rank") >= low) & (F.col("rank") < high)).alias("y")
+        met = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.component <> y.component")
+        met = met.where(F.lit(100) * F.least("x.size", "y.size") >= F.lit(percent) * F.greatest("x.size", "y.size"))
+        pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        checked = settled(verify(settled(pairs)))
+        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
         found = checked.where("linked").select("a", "b")
-        links = found if links is None else links.union(found)
-        joined = components(links)
-        parts = (
-            stars.join(checked, (F.col("pivot") == F.col("a")) & (F.col("id") == F.col("b")))
-            .withColumn("part", F.explode(F.expr("filter(array(if(near or linked, 0, -1), if(linked, -1, 1)), p -> p >= 0)")))
-            .select(F.xxhash64("bucket", "part").alias("bucket"), "id")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            joined = components(links)
+        labelled = settled(
+            state.drop("component")
+            .join(joined.withColumnRenamed("id", "key"), F.col("id") == F.col("key"), "left")
+            .select("bucket", "id", "size", "rank", F.coalesce("component", "id").alias("component"))
         )
-        labelled = cut(
-            parts.join(joined.withColumnRenamed("id", "key"), F.col("id") == F.col("key"), "left").select(
-                "bucket", "id", F.coalesce("component", "id").alias("component")
-            )
+        spans = labelled.groupBy("bucket").agg(
+            F.min("component").alias("first"), F.max("component").alias("last"), F.max("rank").alias("most")
         )
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        state = labelled.join(mixed.where("low <> high").select("bucket"), "bucket")
+        open_ = spans.where((F.col("first") != F.col("last")) & (F.col("most") >= high)).select("bucket")
+        state = settled(labelled.join(open_, "bucket"))
         if state.isEmpty():
             return joined
+        low, high = high, high * GROWTH

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqtables.session import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are maximal runs without blank, tab, line feed, vertical tab, form feed and return.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -53,3 +55,11 @@ def lightest(df: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
 def keep_rows(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``dropped`` (one column ``gone``); rows without id stay."""
     return docs.join(lightest(dropped.distinct()), F.col(doc_id) == F.col("gone"), "left_anti")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, without the conditions that the optimizer derives from its plan.
+
+    A loop's conditions would otherwise grow with every round, and planning with them.
+    """
+    return cut(df.select(F.inline(F.array(F.struct("*")))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqtables.session import cut
+from seqtables.llm.common import settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,20 +17,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     group. Each round is checkpointed. Links with a null end and loops are ignored.
     """
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    edges = cut(pairs.union(pairs.select("v", "u")).distinct())
-    labels = cut(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
+    edges = settled(pairs.union(pairs.select("v", "u")).distinct())
+    labels = settled(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
     while True:
-        near = (
-            edges.join(labels.select(F.col("id").alias("v"), F.col("label").alias("other")), "v")
-            .groupBy("u")
-            .agg(F.min("other").alias("other"))
+        of_v = labels.select(F.col("id").alias("v"), F.col("label").alias("low"))
+        near = edges.join(of_v, "v").groupBy("u").agg(F.min("low").alias("low"))
+        moves = settled(
+            labels.join(near, F.col("id") == F.col("u"))
+            .groupBy("label")
+            .agg(F.min("low").alias("to"))
+            .where(F.col("to") < F.col("label"))
         )
-        seen = labels.join(near, F.col("id") == F.col("u")).select("id", "label", F.least("label", "other").alias("low"))
-        moves = cut(seen.groupBy("label").agg(F.min("low").alias("to")).where(F.col("to") < F.col("label")))
         if moves.isEmpty():
             return labels.select("id", F.col("label").alias("component"))
-        once = moves.select("label", "to")
-        twice = once.join(moves.select(F.col("label").alias("to"), F.col("to").alias("further")), "to", "left").select(
-            "label", F.coalesce("further", "to").alias("to")
-        )
-        labels = cut(labels.join(twice, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        onward = moves.select(F.col("label").alias("to"), F.col("to").alias("further"))
+        steps = moves.join(onward, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
+        labels = settled(labels.join(steps, "label", "left").select("id", F.coalesce("to", "label").alias("label")))

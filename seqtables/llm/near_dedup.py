@@ -7,13 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqtables.llm.buckets import link_buckets
-from seqtables.llm.common import documents, keep_rows, lightest
+from seqtables.llm.common import documents, keep_rows, lightest, settled
 from seqtables.llm.shingles import mixed, shingle_set, signatures, word_hashes
-from seqtables.session import cut
 
 WIDTH = 5  # words of a shingle
 PERCENT = 75  # least similarity of a link
@@ -67,9 +66,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["bucket", "id"])
+        ids, sizes = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), BANDS) for i in (0, 1))
+        keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids), pa.array(sizes)], names=["bucket", "id", "size"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +79,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(first, len(blobs)), pa.array(blobs, pa.binary())], names=["key", "shingles"])
 
 
-def _screen(similar: list[int], near: list[int]):
+def _screen(similar: list[int]):
     """Compare the check hashes of pairs batch by batch and stop at those that can be no link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,34 +87,25 @@ def _screen(similar: list[int], near: list[int]):
             x, y = (
                 np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BATCHES, BATCH) for i in (2, 3)
             )
-            alive, close = np.arange(len(x)), np.ones(len(x), bool)
-            matches = np.zeros(len(x), np.int64)
+            alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
             for k in range(BATCHES):
                 matches[alive] += (x[alive, k] == y[alive, k]).sum(axis=1)
-                close[alive] = matches[alive] >= near[k]
                 alive = alive[matches[alive] >= similar[k]]
             left = np.zeros(len(x), bool)
             left[alive] = True
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(left), pa.array(close)], names=["a", "b", "alive", "near"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left)], names=["a", "b", "alive"])
 
     return run
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked, near = [], []
+        linked = []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            either = len(x) + len(y) - both
-            linked.append(100 * both >= PERCENT * either)
-            near.append(100 * both >= (2 * PERCENT - 100) * either)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(near, pa.bool_())],
-            names=["a", "b", "linked", "near"],
-        )
+            linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -133,22 +123,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     else null, and they are kept only in the latter case. Rows that repeat an id share the decision.
     """
     raw = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = cut(raw.mapInArrow(_sketches, SKETCH))
-    classes = cut(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    sketches = settled(raw.mapInArrow(_sketches, SKETCH))
+    classes = settled(sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     owners = sketches.where("n_shingles > 0").join(classes, (F.col("doc_id") == F.col("rep")) & (sketches.digest == classes.digest), "left_semi")
-    owners = cut(owners.select("doc_id", "bands", "checks").dropDuplicates(["doc_id"]))
-    members = owners.select("doc_id", "bands").mapInArrow(_bands, "bucket long, id long")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(shared, "bucket"))
+    owners = settled(owners.select("doc_id", "n_shingles", "bands", "checks").dropDuplicates(["doc_id"]))
+    members = owners.select("doc_id", "n_shingles", "bands").mapInArrow(_bands, "bucket long, id long, size long")
+    same = Window.partitionBy("bucket")
+    met = members.withColumns({"low": F.min("id").over(same), "high": F.max("id").over(same)}).where("low <> high")
+    members = settled(met.select("bucket", "id", "size"))
 
-    wanted = cut(members.select(F.col("id").alias("doc_id")).distinct())
+    wanted = settled(members.select(F.col("id").alias("doc_id")).distinct())
     candidates = raw.join(lightest(wanted), "doc_id", "left_semi")
-    sets = cut(candidates.mapInArrow(_sets, "key long, shingles binary").dropDuplicates(["key"]))
+    sets = settled(candidates.mapInArrow(_sets, "key long, shingles binary").dropDuplicates(["key"]))
     checks = owners.select(F.col("doc_id").alias("key"), "checks").join(lightest(wanted), F.col("key") == F.col("doc_id"), "left_semi")
-    checks = cut(checks)
+    checks = settled(checks)
 
     similar = least_matches(PERCENT / 100)
-    near = least_matches((2 * PERCENT - 100) / 100)
 
     def both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
         """Pairs with the values of both ends; the pivot comes last, so only one side travels with the pair."""
@@ -157,15 +147,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         return pairs.join(b, "b").join(a, "a").select("a", "b", "of_a", "of_b")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        screened = cut(both(pairs, checks, "checks").mapInArrow(_screen(similar, near), "a long, b long, alive boolean, near boolean"))
+        screened = settled(both(pairs, checks, "checks").mapInArrow(_screen(similar), "a long, b long, alive boolean"))
         alive = screened.where("alive").select("a", "b")
-        ends = cut(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct())
+        ends = settled(alive.select(F.col("a").alias("id")).union(alive.select("b")).distinct())
         needed = sets.join(lightest(ends), F.col("key") == F.col("id"), "left_semi")
-        exact = both(alive, needed, "shingles").mapInArrow(_confirm, "a long, b long, linked boolean, near boolean")
-        lost = screened.where("not alive").select("a", "b", F.lit(False).alias("linked"), "near")
+        exact = both(alive, needed, "shingles").mapInArrow(_confirm, "a long, b long, linked boolean")
+        lost = screened.where("not alive").select("a", "b", F.lit(False).alias("linked"))
         return exact.union(lost)
 
-    found = link_buckets(members, verify)
+    found = link_buckets(members, verify, PERCENT)
     joined = classes.join(found, F.col("rep") == F.col("id"), "left").select(
         F.col("digest").alias("class"), F.coalesce("component", "rep").alias("component_id")
     )
@@ -180,7 +170,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without those that have a kept near duplicate."""
     decided = near_duplicates(docs)
-    return keep_rows(docs, cut(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone"))))
+    return keep_rows(docs, settled(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone"))))
 
 
 def op7_near_dedup(spark, folder: str) -> DataFrame:

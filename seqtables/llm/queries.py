@@ -1,8 +1,9 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from seqtables.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, secrets
+from seqtables.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, secrets, urls
 
 QUERIES = {
+    "op3_url_filter": urls.op3_url_filter,
     "op1_language_id": language.op1_language_id,
     "op2_secrets": secrets.op2_secrets,
     "op5_decontamination": decontaminate.op5_decontamination,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_url_filter": urls.OP3_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_mixing": mixing.OP9_SQL,
