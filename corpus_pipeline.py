@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqtables.llm import mixing
+from seqtables.llm import decontaminate, language, line_dedup, mixing, near_dedup
 from seqtables.session import scratch_path
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language.stage),
+    ("line dedup", line_dedup.stage),
+    ("near dedup", near_dedup.stage),
+    ("decontamination", decontaminate.stage),
     ("mixing", mixing.stage),
 ]
 
@@ -21,7 +25,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each on what the one before has kept, written between them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

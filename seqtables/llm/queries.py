@@ -1,8 +1,9 @@
 """The queries of this package and the SQL of those that SQL can express."""
 
-from seqtables.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, secrets, subword, urls
+from seqtables.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, secrets, subword, token_files, urls
 
 QUERIES = {
+    "op4_token_counts": token_files.op4_token_counts,
     "op10_subword_score": subword.op10_subword_score,
     "op3_url_filter": urls.op3_url_filter,
     "op1_language_id": language.op1_language_id,
