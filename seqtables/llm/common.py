@@ -54,7 +54,9 @@ def lightest(df: DataFrame, max_rows: int = 4_000_000) -> DataFrame:
 
 def keep_rows(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is not in ``dropped`` (one column ``gone``); rows without id stay."""
-    return docs.join(lightest(dropped.distinct()), F.col(doc_id) == F.col("gone"), "left_anti")
+    gone = fresh(docs, "gone")
+    held = lightest(dropped.distinct().withColumnRenamed("gone", gone))
+    return docs.join(held, F.col(doc_id) == F.col(gone), "left_anti")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -164,16 +164,18 @@ def mix(
         for row, (members, words), t in zip(sums, patterns, plan.taken)
     ]
     goals = F.broadcast(docs.sparkSession.createDataFrame(rows, "tag string, target double, passes long, rest long"))
-    ends = F.broadcast(_ends(slim, ranges, goals))
+    ends = _ends(slim, ranges, goals)
+    at = {name: fresh(docs, f"__at_{name}") for name in ends.columns}
+    ends = F.broadcast(ends.toDF(*at.values()))
     kept = [F.col(f"`{name}`") for name in docs.columns]
-    last = F.when(F.col(o) < F.col("end"), F.col(s)).when(
-        F.col(o) == F.col("end"), F.floor(F.col("missing") * F.col(s) / F.greatest("shared", F.lit(1)))
+    last = F.when(F.col(o) < F.col(at["end"]), F.col(s)).when(
+        F.col(o) == F.col(at["end"]), F.floor(F.col(at["missing"]) * F.col(s) / F.greatest(at["shared"], F.lit(1)))
     )
-    return sized.join(ends.withColumnRenamed("tag", "__tag"), F.col(tag) == F.col("__tag")).select(
+    return sized.join(ends, F.col(tag) == F.col(at["tag"])).select(
         *kept,
         F.col(s),
-        F.col("__target").alias(target),
-        (F.col("passes") * F.col(s) + F.coalesce(last, F.lit(0))).cast("long").alias(taken),
+        F.col(at["target"]).alias(target),
+        (F.col(at["passes"]) * F.col(s) + F.coalesce(last, F.lit(0))).cast("long").alias(taken),
     )
 
 
@@ -210,7 +212,7 @@ def _ends(slim: DataFrame, ranges: DataFrame, goals: DataFrame) -> DataFrame:
         .where((F.col("room") > F.col("upto") - F.col("s")) & (F.col("room") <= F.col("upto")))
         .select("tag", F.col("o").alias("end"), (F.col("room") - F.col("upto") + F.col("s")).alias("missing"), F.col("s").alias("shared"))
     )
-    return goals.withColumnRenamed("target", "__target").join(at, "tag", "left")
+    return goals.join(at, "tag", "left")
 
 
 def seeded_order(key: Column, seed: int = SEED) -> Column:
