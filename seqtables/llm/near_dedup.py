@@ -79,6 +79,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(first, len(blobs)), pa.array(blobs, pa.binary())], names=["key", "shingles"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            values = np.frombuffer(blob.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), key)), pa.array(values)], names=["id", "element"])
+
+
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as 32-bit hashes, for a first count of what two sets have in common."""
+    for batch in batches:
+        short = [np.unique(np.frombuffer(b.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for b in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["key", "short"])
+
+
+def _compare_blocks(key: tuple, table: pa.Table) -> pa.Table:
+    """Pairs of two blocks, of different components, that have about PERCENT of their elements in common.
+
+    The counts of common elements of all pairs are a product of two matrices, over those elements
+    that occur more than once. Shortened hashes can only add to a count; links are confirmed later.
+    """
+    left, right = key[1].as_py(), key[2].as_py()
+    sets = [np.frombuffer(b.as_buffer(), np.uint32) for b in table.column("short").combine_chunks()]
+    ids, parts, mine = (table.column(c).to_numpy() for c in ("id", "component", "mine"))
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[place] > 1
+    column = np.cumsum(times > 1) - 1
+    owner, place = owner[often], column[place[often]]
+    x, y = np.flatnonzero(mine == left), np.flatnonzero(mine == right)
+    both = np.zeros((len(x), len(y)), np.float32)
+    row = np.zeros(len(sets), np.int64)
+    row[x] = np.arange(len(x))
+    at_y = np.zeros(len(sets), np.int64)
+    at_y[y] = np.arange(len(y))
+    in_x, in_y = (mine == left)[owner], (mine == right)[owner]
+    for start in range(0, int((times > 1).sum()), 4096):
+        now = (place >= start) & (place < start + 4096)
+        a, b = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+        a[row[owner[now & in_x]], place[now & in_x] - start] = 1
+        b[at_y[owner[now & in_y]], place[now & in_y] - start] = 1
+        both += a @ b.T
+    either = sizes[x][:, None] + sizes[y][None, :] - both
+    close = (100 * both >= PERCENT * either) & (parts[x][:, None] != parts[y][None, :]) & (ids[x][:, None] != ids[y][None, :])
+    i, j = np.nonzero(close)
+    low, high = np.minimum(ids[x[i]], ids[y[j]]), np.maximum(ids[x[i]], ids[y[j]])
+    return pa.table({"a": low, "b": high})
+
+
 def _screen(similar: list[int]):
     """Compare the check hashes of pairs batch by batch and stop at those that can be no link."""
 
@@ -155,7 +204,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         lost = screened.where("not alive").select("a", "b", F.lit(False).alias("linked"))
         return exact.union(lost)
 
-    found = link_buckets(members, verify, PERCENT)
+    def elements(ids: DataFrame) -> DataFrame:
+        needed = sets.join(lightest(ids), F.col("key") == F.col("id"), "left_semi")
+        return needed.mapInArrow(_elements, "id long, element long")
+
+    def blocks(dealt: DataFrame) -> DataFrame:
+        short = sets.select("key", "shingles").mapInArrow(_shorten, "key long, short binary")
+        full = dealt.join(short, F.col("key") == F.col("id")).drop("key")
+        return full.groupBy("bucket", "left", "right").applyInArrow(_compare_blocks, "a long, b long")
+
+    found = link_buckets(members, verify, elements, PERCENT, blocks)
     joined = classes.join(found, F.col("rep") == F.col("id"), "left").select(
         F.col("digest").alias("class"), F.coalesce("component", "rep").alias("component_id")
     )
