@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,11 +27,34 @@ CODE_CHANGES = {
     4: {"TGA": "W"},
     5: {"AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"},
     6: {"TAA": "Q", "TAG": "Q"},
+    9: {"AAA": "N", "AGA": "S", "AGG": "S", "TGA": "W"},
     10: {"TGA": "C"},
     11: {},
     12: {"CTG": "S"},
+    13: {"AGA": "G", "AGG": "G", "ATA": "M", "TGA": "W"},
+    14: {"AAA": "N", "AGA": "S", "AGG": "S", "TAA": "Y", "TGA": "W"},
+    15: {"TAG": "Q"},
+    16: {"TAG": "L"},
+    21: {"AAA": "N", "AGA": "S", "AGG": "S", "ATA": "M", "TGA": "W"},
+    22: {"TCA": "*", "TAG": "L"},
+    23: {"TTA": "*"},
+    24: {"AGA": "S", "AGG": "K", "TGA": "W"},
     25: {"TGA": "G"},
+    26: {"CTG": "A"},
+    27: {"TAA": "Q", "TAG": "Q", "TGA": "W"},
+    28: {"TAA": "Q", "TAG": "Q", "TGA": "W"},
+    29: {"TAA": "Y", "TAG": "Y"},
+    30: {"TAA": "E", "TAG": "E"},
+    31: {"TAA": "E", "TAG": "E", "TGA": "W"},
+    32: {"TAG": "W"},
+    33: {"AGA": "S", "AGG": "K", "TAA": "Y", "TGA": "W"},
 }
+# Letters for several nucleotides, and for two residues that cannot be told apart.
+AMBIGUOUS_BASES = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG",
+    "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT",
+}
+AMBIGUOUS_RESIDUES = {"DN": "B", "EQ": "Z", "IL": "J"}
 RESIDUE_CLASSES = {
     "codon": {"T": "FY*CW", "C": "LPHQ", "A": "IMTNKSR", "G": "VADEG"},
     "chemistry": {
@@ -143,6 +167,8 @@ def coding_length(start: Column, stop: Column, feature: Column | None = None) ->
 
 def genetic_code(table: int) -> str:
     """The 64 residues of a translation table, codons in TCAG order."""
+    if table not in CODE_CHANGES:
+        raise ValueError(f"unknown translation table {table}")
     code = list(STANDARD_CODE)
     for codon, residue in CODE_CHANGES[table].items():
         first, second, third = (CODON_BASES.index(base) for base in codon)
@@ -150,30 +176,53 @@ def genetic_code(table: int) -> str:
     return "".join(code)
 
 
+def ambiguous_code(table: int) -> str:
+    """Residues of all codons over AMBIGUOUS_BASES, in its order: X unless all readings agree."""
+    code, letters = genetic_code(table), list(AMBIGUOUS_BASES)
+    at = {base: i for i, base in enumerate(CODON_BASES)}
+    out = []
+    for first, second, third in product(letters, repeat=3):
+        readings = product(*(AMBIGUOUS_BASES[letter] for letter in (first, second, third)))
+        found = "".join(sorted({code[16 * at[x] + 4 * at[y] + at[z]] for x, y, z in readings}))
+        out.append(found if len(found) == 1 else AMBIGUOUS_RESIDUES.get(found, "X"))
+    return "".join(out)
+
+
 def translate_codons(nt: Column, table: Column | int = 11, readthrough: str = "U") -> Column:
     """Residues of an in-frame sequence without the last symbol.
 
-    Stops before the end become ``readthrough``; codons with other letters become X.
-    ``table`` may differ per row; an unknown table gives null.
+    Stops before the end become ``readthrough``. A codon with ambiguous letters becomes the residue
+    that all its readings give (B, Z or J for the pairs these stand for), else X. ``table`` may
+    differ per row; a missing one gives null, an unknown number is an error.
     """
     if isinstance(table, int):
-        code = F.lit(genetic_code(table))
+        code, wide = F.lit(genetic_code(table)), F.lit(ambiguous_code(table))
     else:
-        pairs = [F.lit(x) for number in CODE_CHANGES for x in (number, genetic_code(number))]
-        code = F.try_element_at(F.create_map(*pairs), table.cast("int"))
+        number = table.cast("int")
+        told = F.raise_error(F.concat(F.lit("unknown translation table "), number.cast("string"))).cast("string")
+        lookup = lambda make: F.try_element_at(F.create_map(*[F.lit(x) for n in CODE_CHANGES for x in (n, make(n))]), number)
+        code = F.coalesce(lookup(genetic_code), F.when(number.isNotNull(), told))
+        wide = lookup(ambiguous_code)
+    letters = "".join(AMBIGUOUS_BASES)
     codons = F.regexp_extract_all(nt, F.lit("(?s).{3}"), F.lit(0))
 
-    def residue(code: Column, codon: Column) -> Column:
+    def residue(gene: Column, codon: Column) -> Column:
         at = [F.instr(F.lit(CODON_BASES), F.substring(codon, k, 1)) for k in (1, 2, 3)]
-        known = (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
-        place = (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2]
-        return F.when(known, F.substring(code, place, 1)).otherwise("X")
+        plain = (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
+        any_of = [F.instr(F.lit(letters), F.substring(codon, k, 1)) for k in (1, 2, 3)]
+        known = (any_of[0] > 0) & (any_of[1] > 0) & (any_of[2] > 0)
+        n = len(letters)
+        return (
+            F.when(plain, F.substring(gene["code"], (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], 1))
+            .when(known, F.substring(gene["wide"], (any_of[0] - 1) * n * n + (any_of[1] - 1) * n + any_of[2], 1))
+            .otherwise("X")
+        )
 
     body = let(
-        F.struct(code.alias("code"), codons.alias("codons")),
+        F.struct(code.alias("code"), wide.alias("wide"), codons.alias("codons")),
         lambda gene: F.transform(
             F.slice(gene["codons"], 1, F.greatest(F.size(gene["codons"]) - 1, F.lit(0))),
-            lambda codon: residue(gene["code"], codon),
+            lambda codon: residue(gene, codon),
         ),
     )
     return F.when(code.isNotNull(), F.replace(F.array_join(body, ""), F.lit("*"), F.lit(readthrough)))

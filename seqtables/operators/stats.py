@@ -172,29 +172,38 @@ def histogram(
 def kernel_density(df: DataFrame, value: str, group: str, points: int = 50) -> DataFrame:
     """Gaussian kernel density on an even grid over each group's range, Scott bandwidth.
 
-    Rows are first counted per distinct value; only those counts meet the grid.
+    Rows are first counted per distinct value; only those counts meet the grid. A group without
+    spread (one row, or equal values) has the grid with a null density.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("w")
     )
-    # The spread comes from the same counts: one row per distinct value.
-    mean = F.sum(F.col("v") * F.col("w")) / F.sum("w")
-    square = F.sum(F.col("v") * F.col("v") * F.col("w"))
-    shape = counts.groupBy(group).agg(
-        F.sum("w").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"), mean.alias("mean"), square.alias("sq")
+    # Deviations are taken from the mean, so that values far from zero keep their spread.
+    totals = counts.groupBy(group).agg(
+        F.sum("w").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean")
     )
-    variance = (F.col("sq") - F.col("total") * F.col("mean") * F.col("mean")) / (F.col("total") - 1)
-    shape = shape.where("total > 1").select(
-        group, "total", "low", "high", (F.sqrt(F.greatest(variance, F.lit(0.0))) * F.pow(F.col("total").cast("double"), F.lit(-0.2))).alias("h")
-    ).where("h > 0")
-    spread = counts.join(shape, group).select(
-        "*", F.posexplode(grid(F.col("low"), F.col("high"), points)).alias("i", "x")
+    same = lambda x, y: F.col(f"{x}.{group}").eqNullSafe(F.col(f"{y}.{group}"))
+    apart = F.col("v") - F.col("mean")
+    variance = (F.sum(F.col("w") * apart * apart) - F.pow(F.sum(F.col("w") * apart), F.lit(2.0)) / F.first("total")) / (F.first("total") - 1)
+    shape = (
+        counts.alias("c")
+        .join(totals.alias("t"), same("c", "t"))
+        .groupBy(F.col(f"c.{group}"))
+        .agg(
+            F.first("total").alias("total"),
+            F.first("low").alias("low"),
+            F.first("high").alias("high"),
+            F.when(F.first("total") > 1, F.sqrt(F.greatest(variance, F.lit(0.0))) * F.pow(F.first("total").cast("double"), F.lit(-0.2))).alias("h"),
+        )
+    )
+    spread = counts.alias("c").join(shape.alias("s"), same("c", "s")).select(
+        f"c.{group}", "v", "w", "total", "h", F.posexplode(grid(F.col("low"), F.col("high"), points)).alias("i", "x")
     )
-    z = (F.col("x") - F.col("v")) / F.col("h")
+    z = F.try_divide(F.col("x") - F.col("v"), F.col("h"))
     return (
         spread.groupBy(group, "i", "x", "h", "total")
         .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("mass"))
-        .select(group, "i", "x", (F.col("mass") / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
+        .select(group, "i", "x", F.when(F.col("h") > 0, F.col("mass") / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))).alias("density"))
     )
 
 

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -48,7 +49,15 @@ def test_translation(one):
     assert one(sequence.translate_codons(L("ATGTGAGGGTAA"), L(25))) == "MGG"
     assert one(sequence.translate_codons(L("ATGNNATAA"))) == "MX"
     assert one(sequence.translate_codons(L("AT"))) == ""
-    assert one(sequence.translate_codons(L("ATGTAA"), L(99))) is None
+    assert one(sequence.translate_codons(L("ATGGCNAAATAA"))) == "MAK"
+    assert one(sequence.translate_codons(L("ATGRAYSARATHTARMGRTAA"))) == "MBZIUR"
+    assert one(sequence.translate_codons(L("AAAAGATAA"), L(9))) == "NS"
+    assert one(sequence.translate_codons(L("AGGTAATAA"), 33)) == "KY"
+    assert one(sequence.translate_codons(L("ATGTAA"), L(None).cast("int"))) is None
+    with pytest.raises(ValueError):
+        sequence.translate_codons(L("ATGTAA"), 99)
+    with pytest.raises(Exception, match="unknown translation table 99"):
+        one(sequence.translate_codons(L("ATGTAA"), L(99)))
 
 
 def test_codons_and_length(one):
