@@ -193,7 +193,7 @@ def cluster_identity(t):
 @query("select id, mmseqs_representative, dense_rank() over (order by mmseqs_representative) - 1 as mmseqs_cluster from {pairs}")
 def cluster_ids(t):
     pairs = t.pairs
-    return pairs.join(dense_ids(pairs, "mmseqs_representative", "mmseqs_cluster"), "mmseqs_representative")
+    return pairs.join(dense_ids(pairs, "mmseqs_representative", "mmseqs_cluster"), "mmseqs_representative", "left")
 
 
 _SPLIT = """groups as (select mmseqs_representative as g, row_number() over (order by md5(concat(cast(mmseqs_representative as varchar), '_42')), mmseqs_representative) as place,

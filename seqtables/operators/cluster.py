@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtables.operators.ordered import dense_ids, number_rows
-from seqtables.operators.similarity import compare_stars, distinct_sequences, jaccard_for_identity
+from seqtables.operators.similarity import chance_rate, compare_stars, distinct_sequences, jaccard_for_identity
 from seqtables.session import cut, spread, stack
 
 REPRESENTATIVE, CLUSTER = "mmseqs_representative", "mmseqs_cluster"
@@ -62,17 +62,22 @@ def representatives(
     their seeds (see ``star_pairs``).
     """
     single = spread(cut(distinct_sequences(df)))
-    edges = compare_stars(single, k, seeds, jaccard_for_identity(identity, k), order)
+    edges = compare_stars(single, k, seeds, jaccard_for_identity(identity, k), order, chance=chance_rate(single, k))
     return single.join(pick_representatives(single, edges), "id").select("seq", "representative")
 
 
 def cluster(df: DataFrame, identity: float = 0.3, k: int = 3, seeds: int = 20) -> DataFrame:
-    """Add the representative and a dense cluster number to every row."""
+    """Add the representative and a dense cluster number to every row.
+
+    Sequences are linked by the identity that their shared k-mers suggest beyond what chance
+    explains (see ``chance_rate``). With few kinds of k-mers a low identity leaves no more shared
+    ones than chance does; such pairs stay apart. Rows without a sequence keep null in both columns.
+    """
     bare = df.drop(REPRESENTATIVE, CLUSTER)
     found = representatives(bare, identity, k, seeds).withColumnRenamed("representative", REPRESENTATIVE)
     found = cut(found)
     numbers = dense_ids(found, REPRESENTATIVE, CLUSTER)
-    return bare.join(found.join(numbers, REPRESENTATIVE), "seq").select(*bare.columns, REPRESENTATIVE, CLUSTER)
+    return bare.join(found.join(numbers, REPRESENTATIVE), "seq", "left").select(*bare.columns, REPRESENTATIVE, CLUSTER)
 
 
 def dereplicate(df: DataFrame, identity: float = 0.95, k: int = 5, seeds: int = 20) -> DataFrame:
@@ -120,10 +125,11 @@ def group_split(df: DataFrame, group: str, seed: int = 42, fraction: float = 0.8
     """Add ``dataset`` so that no group spans two splits.
 
     Groups are ordered by a seeded hash; the first 80% of them are train and val, split
-    80/20 again, the rest is test. The quotas on groups are exact.
+    80/20 again, the rest is test. The quotas on groups are exact. Rows without a group are
+    one group.
     """
     groups = df.select(group).distinct().withColumn(
-        "__hash", F.md5(F.concat(F.col(group).cast("string"), F.lit(f"_{seed}")))
+        "__hash", F.md5(F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(f"_{seed}")))
     )
     placed = number_rows(groups, ["__hash", group], "__place")
     total = groups.agg(F.count(F.lit(1)))
@@ -135,7 +141,9 @@ def group_split(df: DataFrame, group: str, seed: int = 42, fraction: float = 0.8
         .otherwise("test")
         .alias("dataset"),
     )
-    return df.join(named, group)
+    x, y = df.alias("x"), named.alias("y")
+    joined = x.join(y, F.col(f"x.{group}").eqNullSafe(F.col(f"y.{group}")))
+    return joined.select("x.*", "y.dataset")
 
 
 def leakage(splits: DataFrame, external: DataFrame, key: str, split: str = "dataset") -> DataFrame:

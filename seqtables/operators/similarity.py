@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqtables.functions.rows import explode_words, once
 from seqtables.functions.sequence import distinct_kmers
 from seqtables.operators.dedupe import top_n
-from seqtables.session import broadcast_small, cut, scatter, spread
+from seqtables.session import cut, scatter, spread
 
 
 def distinct_sequences(df: DataFrame) -> DataFrame:
@@ -72,6 +72,19 @@ def identity_estimate(jaccard: Column, k: int) -> Column:
     return F.pow(2.0 * jaccard / (1.0 + jaccard), F.lit(1.0 / k))
 
 
+def chance_rate(single: DataFrame, k: int) -> float:
+    """Probability that two k-mers drawn from the table are equal: the sum of the squared shares of all k-mers."""
+    words = explode_words(single, distinct_kmers(F.col("seq"), k), "word", "id").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    row = words.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("square"), F.sum(F.col("n").cast("double")).alias("total")).first()
+    return row.square / row.total**2 if row.total else 0.0
+
+
+def beyond_chance(shared: Column, own: Column, other: Column, rate: float, deviations: float = 6.0) -> Column:
+    """Shared k-mers less those that unrelated sequences of these sizes may share, at most their mean and six deviations."""
+    mean = own.cast("double") * other * F.lit(rate)
+    return F.greatest(F.lit(0.0), shared - mean - F.lit(deviations) * F.sqrt(mean))
+
+
 def jaccard_for_identity(identity: float, k: int) -> float:
     """The Jaccard index at which ``identity_estimate`` reaches an identity."""
     kept = identity**k
@@ -81,9 +94,9 @@ def jaccard_for_identity(identity: float, k: int) -> float:
 def kmer_search(
     queries: DataFrame,
     subjects: DataFrame,
-    k: int = 5,
-    max_subjects: int = 10,
-    min_coverage: float = 0.5,
+    k: int,
+    max_subjects: int,
+    min_coverage: float,
     probe_share: float = 0.75,
 ) -> DataFrame:
     """Best subjects per query by shared distinct k-mers, ties to the smaller subject id.
@@ -100,7 +113,7 @@ def kmer_search(
     held = explode_words(single, distinct_kmers(F.col("subject_seq"), k), "word", "group_id")
     # Subject k-mers that no query holds go first; the rest is read twice, so it is written out.
     wanted = cut(query_words.select("word").distinct())
-    held = cut(held.join(broadcast_small(wanted), "word", "left_semi"))
+    held = cut(held.join(wanted, "word", "left_semi"))
     seen = held.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     own = Window.partitionBy("query_id")  # one query's own k-mers
     need = F.ceil(F.col("n") * F.lit(min_coverage))
@@ -114,7 +127,7 @@ def kmer_search(
         .select("query_id", "word", "hits")
     )
     candidates = (
-        held.join(broadcast_small(cut(probes)), "word")
+        held.join(cut(probes), "word")
         .groupBy("query_id", "group_id")
         .agg(F.count(F.lit(1)).alias("found"), F.first("hits").alias("hits"))
         .where(F.col("found") >= F.col("hits"))
@@ -183,9 +196,9 @@ def star_pairs(
 
 
 def compare_stars(
-    single: DataFrame, k: int, seeds: int, min_jaccard: float, order: Callable[[Column], Column] = F.xxhash64
+    single: DataFrame, k: int, seeds: int, min_jaccard: float, order: Callable[[Column], Column] = F.xxhash64, chance: float = 0.0
 ) -> DataFrame:
-    """``star_pairs`` of a table of distinct sequences."""
+    """``star_pairs`` of a table of distinct sequences; with ``chance``, of k-mers shared beyond it."""
     seeded = cut(seed_kmers(single, k, seeds, order))
     centers = seeded.groupBy("seed").agg(
         F.min(F.struct((-F.col("size")).alias("less"), "id", "words")).alias("center")
@@ -202,5 +215,6 @@ def compare_stars(
     candidates = scatter(candidates).distinct().sortWithinPartitions("center")
     centered = single.select(F.col("id").alias("center"), F.col("seq").alias("center_seq"))
     compared = compare_kmers(candidates.join(single, "id").join(centered, "center"), "seq", "center_seq", k)
-    jaccard = F.col("shared") / (F.col("own") + F.col("other") - F.col("shared"))
+    shared = beyond_chance(F.col("shared"), F.col("own"), F.col("other"), chance) if chance else F.col("shared")
+    jaccard = shared / (F.col("own") + F.col("other") - shared)
     return compared.select("id", "center", "shared", jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -33,10 +33,14 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "seqtables")
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a temporary folder.
+    Only a local session that names none (a test) gets a temporary folder; on a cluster, whose
+    executors would not share it, that is an error.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="seqtables-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named
@@ -84,14 +88,6 @@ def scatter(df: DataFrame) -> DataFrame:
     return df.repartition(partitions, *df.columns)
 
 
-def broadcast_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it small, else as it is.
-
-    For tables of short rows that are already written out, so that the count is cheap.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def stack(*frames: DataFrame, allow_missing: bool = False) -> DataFrame:
     """The rows of all frames, columns matched by name.
 

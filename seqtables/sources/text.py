@@ -120,8 +120,8 @@ def read_annotation_tab(spark: SparkSession, path: str | list[str], kos: Sequenc
 
 
 def number_clusters(pairs: DataFrame) -> DataFrame:
-    """Add a dense ``mmseqs_cluster`` number per representative."""
-    return pairs.join(dense_ids(pairs, "mmseqs_representative", "mmseqs_cluster"), "mmseqs_representative")
+    """Add a dense ``mmseqs_cluster`` number per representative, null without one."""
+    return pairs.join(dense_ids(pairs, "mmseqs_representative", "mmseqs_cluster"), "mmseqs_representative", "left")
 
 
 def read_clusters(spark: SparkSession, path: str | list[str], reps_only: bool = False) -> DataFrame:

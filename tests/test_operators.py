@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -169,6 +170,35 @@ def test_clusters_cover_their_members(spark):
     assert {r.id for r in kept.collect()} == reps
 
 
+def test_unrelated_proteins_stay_apart_and_families_together(spark):
+    rng = random.Random(3)
+    letters = "ARNDCQEGHILKMFPSTWYV"
+    rows = [(f"r{i:03}", "".join(rng.choices(letters, k=rng.randint(60, 900)))) for i in range(400)]
+    family = [(f"f{i}", "".join(c if rng.random() > 0.03 else rng.choice(letters) for c in rows[0][1])) for i in range(5)]
+    df = spark.createDataFrame([*rows, *family, ("none", None)], "id string, seq string")
+    found = {r.id: r for r in cluster.cluster(df).collect()}
+    assert len(found) == 406
+    assert found["none"].mmseqs_representative is None and found["none"].mmseqs_cluster is None
+    assert len({found[i].mmseqs_representative for i, _ in rows}) == 400
+    assert len({found[i].mmseqs_representative for i, _ in [rows[0], *family]}) == 1
+
+
+def test_rows_without_a_group_are_one_group(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, "b")], "id int, g string")
+    rows = {r.id: r.dataset for r in cluster.group_split(df, "g").collect()}
+    assert set(rows) == {1, 2, 3, 4} and rows[2] == rows[3]
+
+
+def test_density_far_from_zero_and_without_spread(spark):
+    df = spark.createDataFrame([("a", 1e9 + i) for i in range(5)] + [("b", 7.0), ("c", 2.0), ("c", 2.0)], "g string, v double")
+    rows = stats.kernel_density(df, "v", "g").collect()
+    peak = max(r.density for r in rows if r.g == "a")
+    h = (10 / 4) ** 0.5 * 5**-0.2
+    want = sum(math.exp(-0.5 * ((1e9 + 4 * 25 / 49 - (1e9 + i)) / h) ** 2) for i in range(5)) / (5 * h * math.sqrt(2 * math.pi))
+    assert abs(peak - want) < 1e-6
+    assert {r.g for r in rows} == {"a", "b", "c"} and all(r.density is None for r in rows if r.g != "a")
+
+
 def test_components_close_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i != 30], "src int, dst int")
     found = {r.id: r.component for r in cluster.connected_components(edges).collect()}
