@@ -57,7 +57,9 @@ def fit_text_model(labelled: DataFrame, text: str, lang: str, key: str, sample:
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")
     )
-    chosen = rows.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= sample).select("lang", "text")
+    turns = rows.select("lang", "key").distinct().withColumn("turn", F.row_number().over(first))
+    ids = turns.where(F.col("turn") <= sample).select("key").distinct()  # at most sample of each language
+    chosen = rows.join(F.broadcast(ids), "key", "left_semi").select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
