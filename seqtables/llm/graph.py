@@ -12,7 +12,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in ``links``; component is the smallest id reachable.
 
     Each round, all ids that share a label take the smallest label next to any of them, and
-    labels are then followed one step further, so long chains shrink quickly. Everything is an
+    chains of such moves are followed to their ends by doubling, so long chains close quickly. Everything is an
     equi-join or a minimum that Spark combines before the shuffle; nothing is gathered per
     group. Each round is checkpointed. Links with a null end and loops are ignored.
     """
@@ -30,6 +30,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         if moves.isEmpty():
             return labels.select("id", F.col("label").alias("component"))
-        onward = moves.select(F.col("label").alias("to"), F.col("to").alias("further"))
-        steps = moves.join(onward, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
-        labels = settled(labels.join(steps, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        while True:  # follow moves that lead to moving labels, twice as far each time
+            onward = moves.select(F.col("label").alias("to"), F.col("to").alias("further"))
+            if moves.join(onward, "to", "left_semi").isEmpty():
+                break
+            moves = settled(moves.join(onward, "to", "left").select("label", F.coalesce("further", "to").alias("to")))
+        labels = settled(labels.join(moves, "label", "left").select("id", F.coalesce("to", "label").alias("label")))

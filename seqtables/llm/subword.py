@@ -83,11 +83,11 @@ def _forward(ends: list[list[tuple[int, int]]], logs: list[float]) -> list[float
     ahead = [0.0]
     for edges in ends[1:]:
         terms = [ahead[i] + logs[p] for i, p in edges]
-        if len(terms) == 1:
-            ahead.append(terms[0])
+        if len(terms) < 2:
+            ahead.append(terms[0] if terms else -math.inf)
         else:
             most = max(terms)
-            ahead.append(most + math.log(sum([math.exp(t - most) for t in terms])))
+            ahead.append(most + math.log(sum([math.exp(t - most) for t in terms])) if most > -math.inf else most)
     return ahead
 
 

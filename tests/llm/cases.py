@@ -47,7 +47,7 @@ def bench_items(spark):
 def pages(spark):
     rows = [
         (0, "https://good.example.net/en/1", '<html lang="en"><a href="https://friend.example.com/x">x</a>'),
-        (1, "https://friend.example.com/en/1", "<html>www.spam.net <p>text of a page in plain words</p>"),
+        (1, "https://friend.example.com/en/1", "<html>www.a.spam.net <p>text of a page in plain words</p>"),
         (2, "http://a.spam.net/", None),
         (3, None, None),
         (4, "no scheme", "<html lang=de>"),
