@@ -331,3 +331,21 @@ def test_line_keys_follow_the_shingles(spark):
     table = spark.createDataFrame(rows, "line string, k1 long")
     got = table.select(F.size(line_dedup._shingles("line")).alias("n"), "line").collect()
     assert all(r.n == len(_line_set(r.line)) for r in got)
+
+
+def test_lines_are_compared_by_all_their_characters(spark):
+    grams = lambda x: {x[i : i + 9] for i in range(max(1, len(x) - 8))}
+    rng = random.Random(3)
+    lines = ["https://www.example.com/a/report-2019.pdf", "https://www.example.com/b/photo.jpg", "2023-01-01\talice", "2023-01-02\tbob"]
+    for alphabet in ("的一是不了人我在有他这中大来上国", "abcdefghij", "ab \t𝄞"):
+        for n in (5, 9, 30, 120, 300):
+            base = "x" + "".join(rng.choices(alphabet, k=n)) + "x"
+            lines += [base, base[:-2] + "yx", base[: n // 2] + "z" + base[n // 2 :], "".join(rng.choices(base, k=n)) + "x"]
+    lines = sorted(set(lines))
+    sets = [grams(x) for x in lines]
+    links = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert links
+    of = _roots(links, range(len(lines)))
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id for r in line_dedup.deduplicate_lines(docs).where("n_left = 1").collect()}
+    assert got == set(of.values())
