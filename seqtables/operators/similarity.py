@@ -80,9 +80,17 @@ def chance_rate(single: DataFrame, k: int) -> float:
 
 
 def beyond_chance(shared: Column, own: Column, other: Column, rate: float, deviations: float = 6.0) -> Column:
-    """Shared k-mers less those that unrelated sequences of these sizes may share, at most their mean and six deviations."""
-    mean = own.cast("double") * other * F.lit(rate)
-    return F.greatest(F.lit(0.0), shared - mean - F.lit(deviations) * F.sqrt(mean))
+    """Shared k-mers beyond those that unrelated sequences of these sizes may share, on the scale of the smaller one.
+
+    A k-mer of one is in the other by chance with probability 1 - exp(-size * rate) at most, so chance
+    explains no more than the binomial's mean and six deviations. What lies above is stretched so
+    that nothing becomes 0 and all k-mers of the smaller sequence stay all, whatever the lengths.
+    """
+    few, many = F.least(own, other).cast("double"), F.greatest(own, other)
+    outside = F.exp(-many * F.lit(rate))
+    mean = few * (1.0 - outside)
+    chance = mean + F.lit(deviations) * F.sqrt(mean * outside)
+    return F.when(few > chance, F.greatest(F.lit(0.0), shared - chance) * few / (few - chance)).otherwise(0.0)
 
 
 def jaccard_for_identity(identity: float, k: int) -> float:

@@ -331,3 +331,27 @@ def test_gene_plan(spark):
     refs = spark.createDataFrame([("r", "A", 1, 18, 1, "CDS", False)], REF)
     row = gene_plan.annotate(genes, refs, contigs).first()
     assert (row.label, row.alignment, row.start_codon, row.stop_codon, row.ref_length) == ("cds", "n_terminus", "ATG", "TAA", 5)
+
+
+def test_long_near_copies_and_families_link_beyond_chance(spark):
+    rng = random.Random(11)
+
+    def mutate(text, letters, changed):
+        return "".join(rng.choice(letters.replace(c, "")) if rng.random() < changed else c for c in text)
+
+    base, other = ("".join(rng.choices("ABCDEF", k=n)) for n in (12_050, 11_000))
+    rows = [("base", base), ("copy", mutate(base[:12_000], "ABCDEF", 0.001)), ("other", other)]
+    kept = cluster.dereplicate(spark.createDataFrame(rows, "id string, seq string"))
+    assert {r.id for r in kept.collect()} == {"base", "other"}
+
+    amino = "ACDEFGHIKLMNPQRSTVWY"
+    proteins = ["".join(rng.choices(amino, k=1000)) for _ in range(40)]
+    rate = similarity.chance_rate(spark.createDataFrame(list(enumerate(proteins)), "id long, seq string"), 3)
+    pairs = [(share, a, mutate(a, amino, 1 - share)) for share in (0.7, 0.5) for a in proteins[:10]]
+    pairs += [(0.0, a, b) for a, b in zip(proteins, proteins[1:])]
+    compared = similarity.compare_kmers(spark.createDataFrame(pairs, "share double, a string, b string"), "a", "b", 3)
+    shared = similarity.beyond_chance(F.col("shared"), F.col("own"), F.col("other"), rate)
+    jaccard = shared / (F.col("own") + F.col("other") - shared)
+    linked = compared.groupBy("share").agg(F.avg((jaccard >= similarity.jaccard_for_identity(0.3, 3)).cast("int")).alias("part"))
+    part = {r.share: r.part for r in linked.collect()}
+    assert part[0.7] == 1 and part[0.0] == 0
