@@ -18,6 +18,7 @@ DAMPING = 0.85
 ROUNDS = 12
 CUT_EVERY = 4
 RATIO = 1.0  # a host is blocked when its distrust is more than RATIO times its trust
+TIE = 1e-9  # masses that differ by less than this part are equal; sums of doubles depend on their order
 HOST = "(?:://|www\\.)([a-z0-9-]+(?:\\.[a-z0-9-]+)+)"
 
 
@@ -85,7 +86,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", p
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
     A page's verdict is its rule's; without a rule it is block if the host's distrust exceeds
-    RATIO times its trust, else allow, also for hosts that neither reaches and for pages without a
+    RATIO times its trust, however small both are, else allow, also for hosts that neither reaches and for pages without a
     host. Missing urls have an empty host, missing html has no links, repeated pages count again.
     """
     host, path = split_url(F.col(url))
@@ -99,10 +100,10 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", p
     seeds = ways.join(F.broadcast(sums), "way").select("host", "way", (F.col("n") / F.col("all")).alias("mass"))
     scores = propagate(links, seeds).withColumnRenamed("host", "node")
     joined = judged.join(scores, _node(F.col("host")) == F.col("node"), "left")
-    trust, distrust = (F.coalesce(F.round(name, 9), F.lit(0.0)) for name in ("trust", "distrust"))
-    by_host = F.when(distrust > F.lit(RATIO) * trust, "block").otherwise("allow")
+    trust, distrust = (F.coalesce(F.col(name), F.lit(0.0)) for name in ("trust", "distrust"))
+    by_host = F.when(distrust > F.lit(RATIO * (1 + TIE)) * trust, "block").otherwise("allow")
     return joined.select(
-        "page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
+        "page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust")
     )
 
 

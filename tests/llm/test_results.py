@@ -349,3 +349,17 @@ def test_lines_are_compared_by_all_their_characters(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
     got = {r.doc_id for r in line_dedup.deduplicate_lines(docs).where("n_left = 1").collect()}
     assert got == set(of.values())
+
+
+def test_verdicts_do_not_depend_on_rounding(spark):
+    many = 30_000  # links that a host's mass is split among: what reaches far.com is under 5e-10
+    rows = [
+        (0, "https://b.spam.net/", ""),
+        (1, "https://heavy.com/", "www.b.spam.net www.light.com " * many),
+        (2, "https://light.com/", "www.b.spam.net"),
+        (3, "https://far.com/", "www.light.com"),
+        (4, "https://alone.com/", ""),
+    ]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3].distrust == 0.0 and got[3].trust == 0.0
+    assert [got[i].verdict for i in range(5)] == ["block", "block", "block", "block", "allow"]
