@@ -56,3 +56,12 @@ def pages(spark):
         (None, "HTTPS://UPPER.Example.ORG/fr/?q#f", "<html>"),
     ]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def vectors(spark):
+    """Vectors of which some are not whole, in a table with clashing names."""
+    rows = [(i, [float((i * 7 + j * j) % 11) - 5.0 + 0.1 * j * i for j in range(4)]) for i in range(9)]
+    rows += [(None, [1.0, 2.0, 3.0, -4.0]), (3, [0.5, -0.5, 0.25, 0.0]), (3, [0.5, -0.5, 0.25, 0.0])]
+    bad = [(20, None), (21, []), (22, [1.0, None, 2.0, 3.0]), (23, [1.0, float("nan"), 2.0, 3.0]), (24, [float("inf"), 0.0, 0.0, 0.0]), (25, [1.0, 2.0])]
+    table = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    return table.select("*", *[F.lit("x").alias(name) for name in ("n", "size", "cell", "vector", "whitened", "place")])

@@ -10,7 +10,12 @@ from seqtables.llm.queries import QUERIES
 @pytest.fixture(scope="module")
 def folders(spark, tmp_path_factory):
     rough = cases.save(
-        tmp_path_factory.mktemp("rough"), spark, documents=cases.rough(spark), benchmark=cases.bench_items(spark), pages=cases.pages(spark)
+        tmp_path_factory.mktemp("rough"),
+        spark,
+        documents=cases.rough(spark),
+        benchmark=cases.bench_items(spark),
+        pages=cases.pages(spark),
+        embeddings=cases.vectors(spark),
     )
     nothing = cases.save(
         tmp_path_factory.mktemp("empty"),
@@ -18,11 +23,12 @@ def folders(spark, tmp_path_factory):
         documents=cases.empty(spark),
         benchmark=cases.bench_items(spark).limit(0),
         pages=cases.pages(spark).limit(0),
+        embeddings=cases.vectors(spark).limit(0),
     )
     return rough, nothing
 
 
-EXPECTED = {"op1_language_id": len(cases.ROWS) + 8, "op3_url_filter": 8, "op5_decontamination": 1}
+EXPECTED = {"op1_language_id": len(cases.ROWS) + 8, "op3_url_filter": 8, "op5_decontamination": 1, "op11_whitening": 12 * 4}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
