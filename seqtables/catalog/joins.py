@@ -10,7 +10,7 @@ from seqtables.catalog.registry import query
 from seqtables.operators import assemble, clean, cluster, similarity, stats
 from seqtables.operators.ordered import dense_ids
 
-K, SEEDS, JACCARD = 8, 20, 0.2
+K, JACCARD = 8, 0.2
 
 
 @query("select c.id, c.mmseqs_representative, s.source, length(s.seq) as length from {clusters} c join {seqs} s on c.id = s.id")
@@ -139,36 +139,57 @@ def kmer_search(t):
     )
 
 
-_STARS = f"""single as materialized (select min(id) as id, seq, length(seq) as size from {{seqs}} group by seq),
-words as materialized {_words('single', K)},
-hashed as materialized (select id, word, md5(word) as seed from words),
-seeds as materialized (select h.id, size, seed from hashed h join single s on h.id = s.id
-          qualify row_number() over (partition by h.id order by seed) <= {SEEDS}),
-centers as (select seed, id as center from seeds qualify row_number() over (partition by seed order by size desc, id) = 1),
-candidates as materialized (select distinct s.id, center from seeds s join centers c on s.seed = c.seed where s.id <> center),
+def _pairs(k: int, least: float) -> str:
+    """All pairs of distinct sequences with a Jaccard index over ``least``; ``tied`` has them by length and id."""
+    return f"""single as materialized (select min(id) as id, seq, length(seq) as size from {{seqs}} group by seq),
+words as materialized {_words('single', k)},
 sizes as (select id, count(*) as n from words group by id),
-common as (select c.id, c.center, count(*) as shared from candidates c join words a on a.id = c.id join words b on b.id = c.center and a.word = b.word group by 1, 2),
-stars as materialized (select c.id, c.center, shared, shared / (a.n + b.n - shared) as jaccard from common c join sizes a on a.id = c.id join sizes b on b.id = c.center
-          where shared / (a.n + b.n - shared) >= {JACCARD})"""
+common as (select a.id, b.id as center, count(*) as shared from words a join words b on a.word = b.word and a.id <> b.id group by 1, 2),
+tied as (select c.id, c.center, shared, a.n as own, b.n as other, shared / (a.n + b.n - shared) as jaccard
+         from common c join sizes a on a.id = c.id join sizes b on b.id = c.center join single x on x.id = c.id join single y on y.id = c.center
+         where (x.size < y.size or (x.size = y.size and x.id > y.id)) and shared / (a.n + b.n - shared) >= {least}),
+pairs as materialized (select id, center, shared, jaccard from tied)"""
 
 
-def _stars(t):
-    return similarity.star_pairs(t.seqs.select("id", "seq"), K, SEEDS, JACCARD, order=F.md5)
-
-
-@query(f"with {_STARS} select id, center, shared, round(jaccard, 9) as jaccard from stars")
+@query(f"with {_pairs(K, JACCARD)} select id, center, shared, round(jaccard, 9) as jaccard from pairs")
 def jaccard_pairs(t):
-    return _stars(t).withColumn("jaccard", F.round("jaccard", 9))
+    pairs = similarity.similar_pairs(t.seqs.select("id", "seq"), K, JACCARD)
+    return pairs.withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(
-    f"""with recursive {_STARS},
-both_ as materialized (select id as a, center as b from stars union select center, id from stars),
+    f"""with recursive {_pairs(K, JACCARD)},
+both_ as materialized (select id as a, center as b from pairs union select center, id from pairs),
 reach as (select distinct a as id, a as component from both_ union select both_.b, reach.component from reach join both_ on both_.a = reach.id)
 select id, min(component) as component from reach group by id"""
 )
 def cluster_components(t):
-    return cluster.connected_components(_stars(t), "id", "center")
+    pairs = similarity.similar_pairs(t.seqs.select("id", "seq"), K, JACCARD)
+    return cluster.connected_components(pairs, "id", "center")
+
+
+def _cover(k: int, identity: float) -> str:
+    """The greedy cover by pairs beyond chance: ``chosen`` has each sequence's representative.
+
+    A sequence's fate follows from its earlier centres', so each step settles one more place in the
+    order by length and id: ``reps`` grows by one row at a time.
+    """
+    least = similarity.jaccard_for_identity(identity, k)
+    return f"""recursive {_pairs(k, least)},
+rate as (select sum(df * df) / (sum(df) * sum(df)) as r from (select count(*)::double as df from words group by word)),
+chance as (select *, least(own, other)::double as few, least(own, other) * (1 - exp(-greatest(own, other) * r)) as mean, exp(-greatest(own, other) * r) as outside from tied, rate),
+beyond as (select id, center, own, other, case when few > mean + 6 * sqrt(mean * outside)
+             then greatest(0, shared - (mean + 6 * sqrt(mean * outside))) * few / (few - (mean + 6 * sqrt(mean * outside))) else 0 end as shared from chance),
+edges as materialized (select id, center, shared / (own + other - shared) as jaccard from beyond where shared / (own + other - shared) >= {least}),
+linked as materialized (select id, row_number() over (order by size desc, id) as place from single where id in (select id from edges)),
+walk as (select 0::bigint as place, (select coalesce(list(id), []) from single where id not in (select id from edges)) as reps
+         union all
+         select w.place + 1, case when exists (select 1 from edges e where e.id = l.id and list_contains(w.reps, e.center)) then w.reps else list_append(w.reps, l.id) end
+         from walk w join linked l on l.place = w.place + 1),
+reps as materialized (select unnest(reps) as id from (select reps from walk order by place desc limit 1)),
+chosen as (select id, id as representative from reps union all
+           select id, center from (select e.id, center, row_number() over (partition by e.id order by jaccard desc, center) as i from edges e
+                                   where center in (select id from reps) and e.id not in (select id from reps)) where i = 1)"""
 
 
 @query("select min(id) as id, length(seq) as length from {seqs} group by seq")
@@ -177,16 +198,23 @@ def dereplicate_exact(t):
     return kept.select("id", F.length("seq").cast("long").alias("length"))
 
 
-@query()
+@query(f"with {_cover(5, 0.95)} select id, source, length(seq) as length from {{seqs}} where id in (select id from reps)")
 def dereplicate_near(t):
     kept = cluster.dereplicate(t.seqs)
     return kept.select("id", "source", F.length("seq").cast("long").alias("length"))
 
 
-@query()
+_IDENTITY = math.pow(0.3, 1 / 8)
+
+
+@query(
+    f"""with {_cover(8, _IDENTITY)}
+select s.id, representative as mmseqs_representative, dense_rank() over (order by representative) - 1 as mmseqs_cluster
+from {{seqs}} s join single x on x.seq = s.seq join chosen c on c.id = x.id"""
+)
 def cluster_identity(t):
     # Letters of prose share short words by chance, so the words are longer than for residues.
-    found = cluster.cluster(t.seqs, identity=math.pow(0.3, 1 / 8), k=8)
+    found = cluster.cluster(t.seqs, identity=_IDENTITY, k=8)
     return found.select("id", "mmseqs_representative", "mmseqs_cluster")
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqtables.operators.ordered import dense_ids, number_rows
-from seqtables.operators.similarity import chance_rate, compare_stars, distinct_sequences, jaccard_for_identity
+from seqtables.operators.similarity import compared_pairs, distinct_sequences, jaccard_for_identity
 from seqtables.session import cut, spread, stack
 
 REPRESENTATIVE, CLUSTER = "mmseqs_representative", "mmseqs_cluster"
@@ -53,20 +51,18 @@ def pick_representatives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stack(joined, reps.select(F.col("center").alias("id"), F.col("center").alias("representative")))
 
 
-def representatives(
-    df: DataFrame, identity: float, k: int = 5, seeds: int = 20, order: Callable[[Column], Column] = F.xxhash64
-) -> DataFrame:
+def representatives(df: DataFrame, identity: float, k: int = 5) -> DataFrame:
     """Table (seq, representative) over the distinct sequences of ``df``.
 
-    Identity is estimated from shared k-mers; sequences are compared to the centres of
-    their seeds (see ``star_pairs``).
+    Identity is estimated from the k-mers shared beyond chance; all pairs that reach it are edges
+    (see ``similar_pairs``).
     """
     single = spread(cut(distinct_sequences(df)))
-    edges = compare_stars(single, k, seeds, jaccard_for_identity(identity, k), order, chance=chance_rate(single, k))
+    edges = compared_pairs(single, k, jaccard_for_identity(identity, k), beyond=True)
     return single.join(pick_representatives(single, edges), "id").select("seq", "representative")
 
 
-def cluster(df: DataFrame, identity: float = 0.3, k: int = 3, seeds: int = 20) -> DataFrame:
+def cluster(df: DataFrame, identity: float = 0.3, k: int = 3) -> DataFrame:
     """Add the representative and a dense cluster number to every row.
 
     Sequences are linked by the identity that their shared k-mers suggest beyond what chance
@@ -74,16 +70,16 @@ def cluster(df: DataFrame, identity: float = 0.3, k: int = 3, seeds: int = 20) -
     ones than chance does; such pairs stay apart. Rows without a sequence keep null in both columns.
     """
     bare = df.drop(REPRESENTATIVE, CLUSTER)
-    found = representatives(bare, identity, k, seeds).withColumnRenamed("representative", REPRESENTATIVE)
+    found = representatives(bare, identity, k).withColumnRenamed("representative", REPRESENTATIVE)
     found = cut(found)
     numbers = dense_ids(found, REPRESENTATIVE, CLUSTER)
     return bare.join(found.join(numbers, REPRESENTATIVE), "seq", "left").select(*bare.columns, REPRESENTATIVE, CLUSTER)
 
 
-def dereplicate(df: DataFrame, identity: float = 0.95, k: int = 5, seeds: int = 20) -> DataFrame:
+def dereplicate(df: DataFrame, identity: float = 0.95, k: int = 5) -> DataFrame:
     """Only the representatives' rows, without cluster columns."""
     bare = df.drop(REPRESENTATIVE, CLUSTER)
-    reps = representatives(bare, identity, k, seeds).select(F.col("representative").alias("id")).distinct()
+    reps = representatives(bare, identity, k).select(F.col("representative").alias("id")).distinct()
     return bare.join(reps, "id", "left_semi")
 
 

@@ -1,11 +1,15 @@
-"""Similarity of sequences by shared k-mers: top subjects per query, and star-shaped pairs."""
+"""Similarity of sequences by shared k-mers: top subjects per query, and all pairs over a threshold."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,13 +76,6 @@ def identity_estimate(jaccard: Column, k: int) -> Column:
     return F.pow(2.0 * jaccard / (1.0 + jaccard), F.lit(1.0 / k))
 
 
-def chance_rate(single: DataFrame, k: int) -> float:
-    """Probability that two k-mers drawn from the table are equal: the sum of the squared shares of all k-mers."""
-    words = explode_words(single, distinct_kmers(F.col("seq"), k), "word", "id").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    row = words.agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("square"), F.sum(F.col("n").cast("double")).alias("total")).first()
-    return row.square / row.total**2 if row.total else 0.0
-
-
 def beyond_chance(shared: Column, own: Column, other: Column, rate: float, deviations: float = 6.0) -> Column:
     """Shared k-mers beyond those that unrelated sequences of these sizes may share, on the scale of the smaller one.
 
@@ -176,53 +173,166 @@ def kmer_search(
     )
 
 
-def seed_kmers(df: DataFrame, k: int, seeds: int, order: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """Table (id, size, words, seed): length, number of distinct k-mers, the smallest k-mer hashes."""
+def _code_batches(k: int):
+    """Iterator of (ids, distinct k-mer codes of each sequence) over Arrow batches (id, seq)."""
 
-    def pick(words: Column) -> Column:
-        hashed = F.array_distinct(F.transform(words, lambda word: order(word)))
-        smallest = F.slice(F.array_sort(hashed), 1, seeds)
-        return F.struct(F.size(words).alias("words"), smallest.alias("smallest"))
+    def codes_of(text: str) -> np.ndarray:
+        if text.isascii() and k <= 8:
+            return kmer_codes(text, k)
+        # 64 bits of a digest; equal k-mers stay equal
+        words = {text[i : i + k] for i in range(len(text) - k + 1)}
+        return np.unique(np.array([int.from_bytes(blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64))
 
-    size = F.length("seq").cast("long").alias("size")
-    counted = once(df.select("id", "seq", size), distinct_kmers(F.col("seq"), k), pick)
-    return explode_words(counted, F.col("smallest"), "seed", "id", "size", "words")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                yield part.column(0), [codes_of(text) for text in part.column(1).to_pylist()]
 
+    return read
+
+
+def kmer_holders(single: DataFrame, k: int) -> DataFrame:
+    """Table (word, df): the code of each k-mer and the number of sequences that hold it."""
+    read = _code_batches(k)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in read(batches):
+            for codes_ in found:
+                yield pa.RecordBatch.from_arrays([pa.array(codes_.view(np.int64))], names=["word"])
+
+    return single.select("id", "seq").mapInArrow(codes, "word long").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
+def chance_rate(holders: DataFrame) -> float:
+    """Probability that two k-mers drawn from the table are equal, from (word, df): the sum of the squared shares."""
+    row = holders.agg(F.sum(F.col("df").cast("double") * F.col("df")).alias("square"), F.sum(F.col("df").cast("double")).alias("total")).first()
+    return row.square / row.total**2 if row.total else 0.0
 
-def star_pairs(
-    df: DataFrame, k: int, seeds: int, min_jaccard: float, order: Callable[[Column], Column] = F.xxhash64
-) -> DataFrame:
-    """Pairs (id, center, shared, jaccard) of distinct sequences that share a seed with a longer one.
 
-    Each seed's longest sequence (ties to the smallest id) is its centre and is compared to
-    the other holders only, so the number of comparisons grows with the rows, not with
-    their square, whatever share of them a seed holds. Pairs whose k-mer counts alone rule
-    the index out are never compared.
+def prefixes(single: DataFrame, holders: DataFrame, k: int, min_jaccard: float, probe_share: float, known: int = 1_000_000) -> DataFrame:
+    """Rows (word, df, id, n, at): of each sequence's n words, rarest first, those that are joined.
+
+    The order is that of the ``known`` most frequent words by the number of their holders, all others
+    before them, which changes how many pairs are compared and never which are found. Words of one
+    holder are left out; at counts them.
+    """
+    shared = holders.where("df > 1")
+    rows = shared.orderBy(F.desc("df"), "word").limit(known).toArrow()
+    table = np.array(rows["word"], np.int64), np.array(rows["df"], np.int64)
+    whole = len(table[0]) < known
+    least_df = 1 if whole else int(table[1].min())
+    order = np.argsort(table[0], kind="stable")
+    held = single.sparkSession.sparkContext.broadcast((table[0][order], table[1][order]))
+    read = _code_batches(k)
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, dfs = held.value
+        for ids, found in read(batches):
+            columns: dict[str, list[np.ndarray]] = {name: [] for name in ("word", "df", "row", "n", "at")}
+            for row, codes in enumerate(found):
+                codes = codes.view(np.int64)
+                n = len(codes)
+                if not n or not len(words) and whole:
+                    continue
+                at = np.minimum(np.searchsorted(words, codes), max(len(words) - 1, 0))
+                df = np.where(words[at] == codes, dfs[at], 0) if len(words) else np.zeros(n, np.int64)
+                turned = np.lexsort((codes * np.int64(-7046029254386353131), df))
+                need = max(1, math.ceil(n * min_jaccard - 1e-9))
+                places = np.arange(n - min(int(need * (1 - probe_share)), need - 1))
+                turned = turned[: len(places)]
+                if whole:
+                    places = places[df[turned] > 0]
+                    turned = turned[df[turned] > 0]
+                size = len(places)
+                values = {"word": codes[turned], "df": np.maximum(df[turned], least_df), "row": np.full(size, row), "n": np.full(size, n), "at": places}
+                for name, value in values.items():
+                    columns[name].append(value)
+            flat = {name: np.concatenate(parts) if parts else np.zeros(0, np.int64) for name, parts in columns.items()}
+            arrays = [ids.take(pa.array(flat[name])) if name == "row" else pa.array(flat[name], pa.int64()) for name in flat]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id" if name == "row" else name for name in flat])
+
+    kind = single.schema["id"].dataType.simpleString()
+    return single.select("id", "seq").mapInArrow(rank, f"word long, df long, id {kind}, n long, at long")
+
+
+def _behind(n: Column, share: float, probe_share: float) -> Column:
+    """How many of n words come after the prefix that looks for ``probe_share`` of the least share."""
+    need = F.greatest(F.lit(1), F.ceil(n * F.lit(share) - 1e-9))
+    return F.least(F.floor(need * F.lit(1 - probe_share)), need - 1)
+
+
+def _sides(rows: DataFrame, min_jaccard: float, probe_share: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of the join on words: by bands of sizes, and by blocks where a word has many holders.
+
+    The shorter of two sequences is in the band of the longer one or in the one before; bands too wide
+    to leave out more rows than they double are not used. A row probes in
+    one block of its word and is held in all of them, so that a word's pairs are made by as many tasks as
+    its holders need.
+    """
+    t = min_jaccard
+    banding = t >= 0.4
+    band = F.floor(F.ln("n") / F.lit(math.log(1 / min(t, 0.99))) + 1e-9).cast("int") if banding else F.lit(0)
+    blocks = F.ceil(F.col("df") / F.lit(hot)).cast("int")
+    columns = ["word", "id", "n", "at"]
+    probing = rows.select(*columns, band.alias("band"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    held = rows.where(F.col("at") < F.col("n") - _behind(F.col("n"), 2 * t / (1 + t), probe_share))
+    banded = held.select(*columns, "df", F.explode(F.array(band, band + 1) if banding else F.array(band)).alias("band"))
+    return probing, banded.select(*columns, "band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+
+
+def candidate_pairs(rows: DataFrame, min_jaccard: float, probe_share: float, hot: int = 2000) -> DataFrame:
+    """Pairs (id, other) of the sequences of ``prefixes`` among which are all with a Jaccard index of ``min_jaccard`` or more.
+
+    Two sets that are alike by t share at least t / (1 + t) of the sum of their sizes, and in any fixed
+    order of the words the rest of both behind their prefixes cannot hold all of these. So the rarest
+    words meet: on the longer one's side all but the last of its own least share, fewer on the shorter
+    one's, as the longer one has at least its size. What share of it is looked for in the rarer part
+    leaves fewer pairs to compare: a pair needs as many common words there as the rest cannot make up for.
     """
-    single = spread(cut(distinct_sequences(df)))
-    return compare_stars(single, k, seeds, min_jaccard, order)
+    t = min_jaccard
+    probing, holding = _sides(rows, t, probe_share, hot)
+    x, y = probing.alias("x"), holding.alias("y")
+    n, n_held = F.col("x.n"), F.col("y.n")
+    longer = (n > n_held) | ((n == n_held) & (F.col("x.id") < F.col("y.id")))
+    need = F.ceil((n + n_held) * F.lit(t / (1 + t)) - 1e-9)
+    ahead = F.least(n - F.col("x.at"), n_held - F.col("y.at"))
+    keys = [F.col(f"x.{name}") == F.col(f"y.{name}") for name in ("word", "band", "block")]
+    met = x.join(y, reduce(lambda a, b: a & b, keys)).where(longer & (n_held >= n * F.lit(t) - 1e-9))
+    # the first common word of a pair that passes has enough words behind it on both sides
+    counted = met.groupBy(F.col("x.id").alias("id"), F.col("y.id").alias("other")).agg(
+        F.count(F.lit(1)).alias("found"), F.first(n).alias("n"), F.first(n_held).alias("n_held"), F.max(ahead >= need).alias("early")
+    )
+    need = F.ceil((F.col("n") + F.col("n_held")) * F.lit(t / (1 + t)) - 1e-9)
+    missing = F.greatest(_behind(F.col("n"), t, probe_share), _behind(F.col("n_held"), 2 * t / (1 + t), probe_share))
+    return counted.where((F.col("found") >= need - missing) & F.col("early")).select("id", "other")
 
 
-def compare_stars(
-    single: DataFrame, k: int, seeds: int, min_jaccard: float, order: Callable[[Column], Column] = F.xxhash64, chance: float = 0.0
+def similar_pairs(
+    df: DataFrame, k: int, min_jaccard: float, probe_share: float = 0.1, beyond: bool = False
 ) -> DataFrame:
-    """``star_pairs`` of a table of distinct sequences; with ``chance``, of k-mers shared beyond it."""
-    seeded = cut(seed_kmers(single, k, seeds, order))
-    centers = seeded.groupBy("seed").agg(
-        F.min(F.struct((-F.col("size")).alias("less"), "id", "words")).alias("center")
-    )
-    small, large = F.least("words", "center_words"), F.greatest("words", "center_words")
-    candidates = (
-        seeded.join(
-            centers.select("seed", F.col("center.id").alias("center"), F.col("center.words").alias("center_words")),
-            "seed",
-        )
-        .where((F.col("id") != F.col("center")) & (small >= large * F.lit(min_jaccard)))
-        .select("id", "center")
-    )
-    candidates = scatter(candidates).distinct().sortWithinPartitions("center")
-    centered = single.select(F.col("id").alias("center"), F.col("seq").alias("center_seq"))
-    compared = compare_kmers(candidates.join(single, "id").join(centered, "center"), "seq", "center_seq", k)
-    shared = beyond_chance(F.col("shared"), F.col("own"), F.col("other"), chance) if chance else F.col("shared")
+    """All pairs (id, center, shared, jaccard) of distinct sequences with a k-mer Jaccard index of ``min_jaccard`` or more.
+
+    center is the longer sequence, of equally long ones the one with the smaller id. No pair is
+    missed (see ``candidate_pairs``), and what is compared is exact. With ``beyond`` the index is that
+    of the k-mers shared beyond chance (see ``beyond_chance``). Sequences shorter than k have no pairs.
+    """
+    return compared_pairs(spread(cut(distinct_sequences(df))), k, min_jaccard, probe_share, beyond)
+
+
+def compared_pairs(single: DataFrame, k: int, min_jaccard: float, probe_share: float = 0.1, beyond: bool = False) -> DataFrame:
+    """``similar_pairs`` of a table (id, seq) of distinct sequences."""
+    holders = cut(kmer_holders(single, k))
+    rate = chance_rate(holders) if beyond else 0.0
+    pairs = candidate_pairs(cut(prefixes(single, holders, k, min_jaccard, probe_share)), min_jaccard, probe_share)
+    candidates = scatter(pairs).sortWithinPartitions("other")
+    others = single.select(F.col("id").alias("center"), F.col("seq").alias("center_seq"))
+    joined = candidates.withColumnRenamed("other", "center").join(single, "id").join(others, "center")
+    compared = compare_kmers(joined, "seq", "center_seq", k)
+    shared = beyond_chance(F.col("shared"), F.col("own"), F.col("other"), rate) if beyond else F.col("shared")
     jaccard = shared / (F.col("own") + F.col("other") - shared)
-    return compared.select("id", "center", "shared", jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard)
+    size, center_size = F.length("seq"), F.length("center_seq")
+    later = (size < center_size) | ((size == center_size) & (F.col("id") > F.col("center")))
+    turned = F.struct(F.col("center").alias("id"), F.col("id").alias("center"))
+    sides = F.when(later, F.struct("id", "center")).otherwise(turned)
+    return compared.select(sides.alias("s"), "shared", jaccard.alias("jaccard")).where(F.col("jaccard") >= min_jaccard).select("s.id", "s.center", "shared", "jaccard")

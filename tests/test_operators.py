@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -346,7 +347,7 @@ def test_long_near_copies_and_families_link_beyond_chance(spark):
 
     amino = "ACDEFGHIKLMNPQRSTVWY"
     proteins = ["".join(rng.choices(amino, k=1000)) for _ in range(40)]
-    rate = similarity.chance_rate(spark.createDataFrame(list(enumerate(proteins)), "id long, seq string"), 3)
+    rate = similarity.chance_rate(similarity.kmer_holders(spark.createDataFrame(list(enumerate(proteins)), "id long, seq string"), 3))
     pairs = [(share, a, mutate(a, amino, 1 - share)) for share in (0.7, 0.5) for a in proteins[:10]]
     pairs += [(0.0, a, b) for a, b in zip(proteins, proteins[1:])]
     compared = similarity.compare_kmers(spark.createDataFrame(pairs, "share double, a string, b string"), "a", "b", 3)
@@ -355,3 +356,39 @@ def test_long_near_copies_and_families_link_beyond_chance(spark):
     linked = compared.groupBy("share").agg(F.avg((jaccard >= similarity.jaccard_for_identity(0.3, 3)).cast("int")).alias("part"))
     part = {r.share: r.part for r in linked.collect()}
     assert part[0.7] == 1 and part[0.0] == 0
+
+
+@pytest.mark.parametrize("k, least, share", [(3, 0.15, 0.1), (4, 0.45, 0.0), (4, 0.45, 0.6), (9, 0.3, 0.1), (3, 1.0, 0.1)])
+def test_similar_pairs_miss_none(spark, k, least, share):
+    rng = random.Random(k)
+    rows = []
+    for family, letters in enumerate(("ABCD", "ABCDEFGHIJ", "ABCDEé的𝄞")):
+        base = rng.choices(letters, k=150)
+        for i in range(14):
+            cut_at = rng.randrange(60, 151)
+            rows.append((f"{family}{i:02}", "".join(c if rng.random() > 0.02 * (i % 6) else rng.choice(letters) for c in base[:cut_at])))
+    rows += [("short", "AB"), ("same", rows[0][1]), ("none", None), ("z", "ABCDABCDABCD" * 30)]
+    df = spark.createDataFrame(rows, "id string, seq string")
+    single = {}
+    for i, seq in sorted(rows):
+        if seq is not None:
+            single.setdefault(seq, i)
+    sets = {i: (len(seq), {seq[j : j + k] for j in range(len(seq) - k + 1)}) for seq, i in single.items()}
+    want = {}
+    for a, b in itertools.combinations(sets, 2):
+        shared = len(sets[a][1] & sets[b][1])
+        if shared and shared / len(sets[a][1] | sets[b][1]) >= least:
+            center, other = sorted((a, b), key=lambda i: (-sets[i][0], i))
+            want[other, center] = shared
+    got = similarity.similar_pairs(df, k, least, probe_share=share).collect()
+    assert {(r.id, r.center): r.shared for r in got} == want and len(got) == len(want)
+
+
+def test_frequent_words_are_dealt_to_blocks(spark):
+    rows = [(i, "ABCDEFGH" + "".join(random.Random(i // 2).choices("JKLMNOPQ", k=30)) + "RS"[i % 2]) for i in range(60)]
+    single = spark.createDataFrame(rows, "id long, seq string")
+    holders = similarity.kmer_holders(single, 4)
+    for known in (5, 1_000_000):
+        prefix = similarity.prefixes(single, holders, 4, 0.6, 0.9, known=known)
+        pairs = {hot: {(r.id, r.other) for r in similarity.candidate_pairs(prefix, 0.6, 0.9, hot=hot).collect()} for hot in (7, 2000)}
+        assert pairs[7] == pairs[2000] >= {(2 * i, 2 * i + 1) for i in range(30)}
