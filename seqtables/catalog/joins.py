@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from seqtables.catalog.registry import query
-from seqtables.operators import assemble, clean, cluster, similarity, stats
+from seqtables.operators import assemble, clean, cluster, hsps, similarity, stats
 from seqtables.operators.ordered import dense_ids
 
 K, JACCARD = 8, 0.2
@@ -139,6 +139,38 @@ def kmer_search(t):
     )
 
 
+_LETTERS = hsps.Scoring(same=5, unlike=-4, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZ", groups=())
+
+
+@query(
+    f"""with q as (select id, seq, length(seq) as n from {{items}} where seq is not null), s as (select id, seq, length(seq) as n from {{seqs}} where seq is not null),
+qw as materialized (select id, i, substr(seq, i::int, 12) as word from (select id, seq, unnest(range(1, n - 10)) as i from q)),
+sw as materialized (select id, i, substr(seq, i::int, 12) as word from (select id, seq, unnest(range(1, n - 10)) as i from s)),
+diagonals as (select qw.id as q, sw.id as s, sw.i - qw.i as d from qw join sw using (word) group by 1, 2, 3 having count(*) >= 2),
+places as (select diagonals.q, diagonals.s, d, unnest(range(greatest(0, -d), least(q.n, s.n - d))) as p from diagonals join q on q.id = diagonals.q join s on s.id = diagonals.s),
+scored as (select places.q, places.s, d, p, (substr(q.seq, (p + 1)::int, 1) = substr(s.seq, (p + d + 1)::int, 1))::int as same from places join q on q.id = places.q join s on s.id = places.s),
+sums as (select *, sum(9 * same - 4) over w as c, sum(9 * same - 4) over w - (9 * same - 4) as before, sum(same) over w as equal from scored window w as (partition by q, s, d order by p)),
+gains as (select *, min(before) over (partition by q, s, d order by p) as low, c - min(before) over (partition by q, s, d order by p) as gain from sums),
+ends as (select * from gains qualify row_number() over (partition by q, s, d order by gain desc, p) = 1),
+segments as (select e.q, e.s, e.d, e.gain as score, min(g.p) as a, e.p as b, any_value(e.equal) - min_by(g.equal - g.same, g.p) as same
+             from ends e join gains g on g.q = e.q and g.s = e.s and g.d = e.d and g.p <= e.p and g.before = e.low where e.gain > 0 group by e.q, e.s, e.d, e.gain, e.p),
+valued as (select x.*, q.n as nq, s.n as ns, {_LETTERS.kappa} * q.n * (select sum(n) from s) * exp(score * {-_LETTERS.scale!r}) as e_value,
+             (score * {_LETTERS.scale!r} - ln({_LETTERS.kappa})) / ln(2) as bits from segments x join q on q.id = x.q join s on s.id = x.s),
+best as (select * from valued where e_value <= 0.001 qualify row_number() over (partition by q, s order by score desc, a, a + d) <= 3),
+kept as (select q, s from best group by q, s qualify row_number() over (partition by q order by max(score) desc, s) <= 10),
+covered as (select q, s, count(distinct p) as covered from (select q, s, unnest(range(a, b + 1)) as p from best) group by q, s)
+select q as query_id, s as subject_id, round(100.0 * same / (b - a + 1), 6) as sequence_identity, b - a + 1 as alignment_length, (b - a + 1 - same)::bigint as mismatch,
+       0::bigint as num_gap_openings, a + 1 as query_alignment_start, b + 1 as query_alignment_end, a + d + 1 as subject_alignment_start, b + d + 1 as subject_alignment_end,
+       round(e_value, 12) as e_value, round(bits, 6) as bit_score, round(100.0 * covered / nq, 6) as query_coverage_per_subject,
+       round(100.0 * (b - a + 1) / nq, 6) as query_coverage_per_pair, nq as query_sequence_length, ns as subject_sequence_length
+from best join kept using (q, s) join covered using (q, s)"""
+)
+def hsp_search(t):
+    found = hsps.search(t.items, t.seqs, k=12, least_words=2, max_subjects=10, max_hsps=3, max_e_value=0.001, scoring=_LETTERS)
+    rounded = {c: F.round(c, 6) for c in ("sequence_identity", "bit_score", "query_coverage_per_subject", "query_coverage_per_pair")}
+    return found.withColumns(rounded).withColumn("e_value", F.round("e_value", 12))
+
+
 def _pairs(k: int, least: float) -> str:
     """All pairs of distinct sequences with a Jaccard index over ``least``; ``tied`` has them by length and id."""
     return f"""single as materialized (select min(id) as id, seq, length(seq) as size from {{seqs}} group by seq),
