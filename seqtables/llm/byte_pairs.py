@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,7 @@ from seqtables.session import spread
 
 NONE, NEVER = -1, 1 << 62
 ID = np.dtype("<u4")
-SHIFT = 32  # bits of a rank
-HELD = 500_000  # pieces, and pairs of tokens, that a worker remembers
+HELD = 800_000  # pieces, and pairs of tokens, that a worker remembers
 SHORT = 64  # characters of the longest piece that is remembered
 WINDOW = 1 << 20  # characters that are split into pieces at a time
 ARROW_BYTES = 32 << 20  # of one outgoing batch
@@ -49,12 +49,12 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
-        self.pairs: dict[int, bool] = {}
-        self._endings = ahocorasick.Automaton()
+        self.allowed, self.refused, self.answers = self._unknown(), self._unknown(), 0
+        self._automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
             if self.merged(token) == [rank]:
-                self._endings.add_word(token.decode("latin-1"), (len(token), rank))
-        self._endings.make_automaton()
+                self._automaton.add_word(token.decode("latin-1"), (len(token), rank))
+        self._automaton.make_automaton()
 
     def merged(self, data: bytes) -> list[int]:
         """What byte pair merging means: join the neighbours of the lowest rank, the leftmost first."""
@@ -70,19 +70,56 @@ class Vocabulary:
                 joined[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
         return [ranks[part] for part in parts]
 
-    def follows(self, pair: int) -> bool:
-        """Whether two tokens (the first ``SHIFT`` bits up) stay apart when merged together; ``pairs`` holds answers."""
-        if pair < 0:
+    def follows(self, first: int, second: int) -> bool:
+        """Whether two tokens stay apart when merged together; the answer is remembered."""
+        if first == NONE:
+            raise ValueError("the vocabulary lacks a token for one of the bytes")
+        if first in self.refused[second]:
+            return False
+        self.answers += 1
+        if self.answers > HELD:
+            self.allowed, self.refused, self.answers = self._unknown(), self._unknown(), 1
+        apart = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
+        (self.allowed if apart else self.refused)[second].add(first)
+        return apart
+
+    def _unknown(self) -> dict[int, set[int]]:
+        return {rank: set() for rank in self.tokens}
+
+    def extend(self, last: list[int], data: bytes, margin: int = 0) -> None:
+        """Lengthen a table of last tokens over ``data``, whose first byte is number ``margin`` of the piece."""
+        allowed, follows = self.allowed, self.follows
+        done = len(last)  # the first prefix without its token
+        stop = margin + len(data)
+        last += [NONE] * (stop + 1 - done)
+        first = margin + 1
+        for end, (length, rank) in self._automaton.iter(data.decode("latin-1")):
+            here = end + first
+            if here < done:
+                continue
+            if here != length:
+                if here < length:
+                    continue
+                before = last[here - length]
+                if before not in allowed[rank] and not follows(before, rank):
+                    allowed = self.allowed
+                    continue
+            last[here] = rank
+            if here > done:
+                break  # no token ends at the place before
+            done = here + 1
+        if done <= stop:
             raise ValueError("the vocabulary lacks a token for one of the bytes")
-        if len(self.pairs) >= HELD:
-            self.pairs.clear()
-        first, second = pair >> SHIFT, pair & (1 << SHIFT) - 1
-        known = self.pairs[pair] = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
-        return known
 
-    def endings(self, data: bytes) -> Iterator[tuple[int, tuple[int, int]]]:
-        """(place of the last byte, (length, rank)) of all tokens in the data, by place."""
-        return self._endings.iter(data.decode("latin-1"))
+    def walk(self, last: list[int]) -> list[int]:
+        """The tokens of a table, from the last one back."""
+        found, place, lengths = [], len(last) - 1, self.lengths
+        while place:
+            rank = last[place]
+            found.append(rank)
+            place -= lengths[rank]
+        found.reverse()
+        return found
 
 
 class Prefixes:
@@ -119,41 +156,14 @@ class Prefixes:
 
     def _extend(self, stop: int) -> None:
         """The tokens of the prefixes up to ``stop`` bytes."""
-        last, pairs, follows = self.last, self.vocabulary.pairs, self.vocabulary.follows
-        begin = len(last) - 1
+        begin = len(self.last) - 1
         margin = max(0, begin - self.vocabulary.longest)
-        last += [NONE] * (stop - begin)
-        done = begin + 1  # the first prefix without its token
-        for end, (length, rank) in self.vocabulary.endings(bytes(self.data[margin:stop])):
-            here = margin + end + 1
-            if here < done:
-                continue
-            rest = here - length
-            if rest > 0:
-                pair = last[rest] << SHIFT | rank
-                known = pairs.get(pair)
-                if not (follows(pair) if known is None else known):
-                    continue
-            elif rest < 0:
-                continue
-            last[here] = rank
-            done = here + 1
-        if stop > begin and NONE in last[begin + 1 :]:
-            raise ValueError("the vocabulary lacks a token for one of the bytes")
+        self.vocabulary.extend(self.last, bytes(self.data[margin:stop]), margin)
 
     def ids(self) -> list[int]:
         """The encoding of the whole piece. A piece that is a token is that token."""
-        place = len(self.data)
-        whole = self.vocabulary.ranks.get(bytes(self.data)) if place <= self.vocabulary.longest else None
-        if whole is not None:
-            return [whole]
-        found, last, lengths = [], self.last, self.vocabulary.lengths
-        while place:
-            rank = last[place]
-            found.append(rank)
-            place -= lengths[rank]
-        found.reverse()
-        return found
+        whole = self.vocabulary.ranks.get(bytes(self.data)) if len(self.data) <= self.vocabulary.longest else None
+        return self.vocabulary.walk(self.last) if whole is None else [whole]
 
 
 class Pieces:
@@ -249,11 +259,19 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.vocabulary, self.cutter, self.older = Vocabulary(ranks), Pieces(pattern), {}
+        self.packed = {rank: rank.to_bytes(ID.itemsize, "little") for rank in ranks.values()}
 
     def __missing__(self, piece: str) -> bytes:
         found = self.older.get(piece)
         if found is None:
-            found = np.array(Prefixes(self.vocabulary, piece.encode()).ids(), ID).tobytes()
+            data, words = piece.encode(), self.vocabulary
+            whole = words.ranks.get(data) if len(data) <= words.longest else None
+            if whole is None:
+                last = [NONE]
+                words.extend(last, data)
+                found = b"".join(map(self.packed.__getitem__, words.walk(last)))
+            else:
+                found = self.packed[whole]
         if len(piece) <= SHORT:
             if len(self) >= HELD // 2:
                 self.older = dict(self)
@@ -263,7 +281,8 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(b"".join(map(self.__getitem__, pieces)) for pieces in self.cutter.batches(text))
+        # a getter of two or more pieces returns a tuple
+        return b"".join(b"".join(itemgetter("", *pieces)(self)) for pieces in self.cutter.batches(text))
 
 
 _WORKER: dict[str, tuple[object, Encoder]] = {}
@@ -337,12 +356,15 @@ def decode(rows: DataFrame, ids: str = "ids", data: str = "decoded", vocabulary:
     at = rows.columns.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in held.value.items()}
+        ranks = held.value
+        tokens = np.full(max(ranks.values(), default=-1) + 1, None, object)
+        for token, rank in ranks.items():
+            tokens[rank] = token
         for batch in batches:
             found = []
             for value in batch.column(at):
                 known = value.as_py()
-                found.append(None if known is None else b"".join(map(tokens.__getitem__, np.frombuffer(known, ID).tolist())))
+                found.append(None if known is None else b"".join(tokens[np.frombuffer(known, ID)].tolist()))
             yield from _sent(batch, found, data)
 
     return rows.mapInArrow(work, StructType([*rows.schema.fields, StructField(data, BinaryType())]))
