@@ -163,10 +163,13 @@ def _expected(emit: np.ndarray, moves: np.ndarray, inside: np.ndarray) -> tuple[
 
 def _tagged(text: str) -> tuple[list[str], list[int], list[int]]:
     """Tokens, the tags that the pattern matches give them, and the places of the matches."""
-    spans = [(value, end) for _, _, end, value in base_spans(text)]
+    spans = sorted((value, end) for _, _, end, value in base_spans(text))
     tokens, tags, places = [], [], []
+    held, low = None, 0
     for m in TOKEN.finditer(text):
-        held = next((k for k, (a, b) in enumerate(spans) if m.start() < b and m.end() > a), None) if spans else None
+        while low < len(spans) and spans[low][1] <= m.start():
+            low += 1  # ended before this token, and so before all later ones
+        held = next((k for k in range(low, min(len(spans), low + 3)) if spans[k][0] < m.end() and spans[k][1] > m.start()), None)
         if held is None:
             tags.append(OUT)
         else:
@@ -215,9 +218,17 @@ class Tagger:
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.shapes.clear()
-        self.rows: list[np.ndarray] = [np.stack([self.field.score([f"{p}:none"]) for _, p in PLACES])]
-        self.rows[0][0] = 0.0
-        self.table = np.zeros((0, len(PLACES), 3))
+        self.table, self.used = np.zeros((1024, len(PLACES), 3)), 0
+        self._add(np.stack([self.field.score([f"{p}:none"]) for _, p in PLACES]))
+        self.table[0, 0] = 0.0
+
+    def _add(self, row: np.ndarray) -> int:
+        """The place of a new row of scores; a full table doubles."""
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = row
+        self.used += 1
+        return self.used - 1
 
     def _id(self, token: str) -> int:
         word = token.lower()
@@ -228,21 +239,18 @@ class Tagger:
             return self.shapes[name]
         own = [f"here:{f}" for f in shape_features(token)]
         word = word_feature(token)
-        self.rows.append(np.stack([self.field.score([*(own if p == "here" else []), f"{p}:{word}"]) for _, p in PLACES]))
-        self.ids[token] = len(self.rows) - 1
+        place = self._add(np.stack([self.field.score([*(own if p == "here" else []), f"{p}:{word}"]) for _, p in PLACES]))
+        self.ids[token] = place
         if plain:
-            self.shapes[name] = len(self.rows) - 1
-        return len(self.rows) - 1
+            self.shapes[name] = place
+        return place
 
     def tags(self, tokens: list[str], file: list[str]) -> np.ndarray:
         """The best tags of a text's tokens."""
         if len(self.ids) > CACHE:
             self._clear()
-        get, ids = self.ids.get, self.ids
+        get = self.ids.get
         at = np.array([get(t) or self._id(t) for t in tokens], np.int64)
-        del ids
-        if len(self.table) != len(self.rows):
-            self.table = np.stack(self.rows)
         padded = np.concatenate(([0, 0], at, [0]))
         emit = self.table[at, 0] + self.table[padded[1:-2], 1] + self.table[padded[:-3], 2] + self.table[padded[3:], 3]
         emit += self.field.score([f"file:{f}" for f in file])
@@ -285,6 +293,17 @@ def field_spans(text: str, tokens: list[str], tags: np.ndarray) -> list[tuple[in
     return [(a, b) for a, b in spans]
 
 
+def apart(spans: list[tuple[int, int]], base: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans that touch no pattern match; both lists are walked in step."""
+    at, reach = 0, -1  # reach: the furthest end of the matches that start before the span's end
+    for a, b in spans:
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= a:
+            yield a, b
+
+
 def find_secrets(docs: DataFrame, field: Field, text: str = "text", doc_id: str = "doc_id", facts: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per document: its pattern matches and all spans.
 
@@ -309,12 +328,7 @@ def find_secrets(docs: DataFrame, field: Field, text: str = "text", doc_id: str
                 spans = [(s, k, e) for s, k, e, _ in base]
                 if tokens:
                     tags = tagger.tags(tokens, file_features(whole, row[2:]))
-                    taken = [(s, e) for s, _, e, _ in base]
-                    spans += [
-                        (a, 3, b)
-                        for a, b in field_spans(whole, tokens, tags)
-                        if b - a >= SHORTEST and not any(a < e and b > s for s, e in taken)
-                    ]
+                    spans += [(a, 3, b) for a, b in apart(field_spans(whole, tokens, tags), base) if b - a >= SHORTEST]
                 counts = Counter(k for _, k, _, _ in base)
                 told = [",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(x)) for x in ([y[:3] for y in base], spans)]
                 out.append((row[0], counts[0], counts[1], counts[2], hashlib.sha256(told[0].encode()).hexdigest(), told[1], len(spans) - len(base)))
