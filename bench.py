@@ -19,7 +19,7 @@ HEADLINE = (
     "truncation_summary clean_corpus assign_classes truncate_frame extend_orf translate_codons gene_nt "
     "kmer_profile suffix_composition interval_match label_genes match_with_ref results_star_join "
     "threshold_sweep mann_whitney_u mwu_by_dim ecdf histogram kde prediction_crosstab accuracy_sweep "
-    "group_split cluster_ids kmer_search jaccard_pairs dereplicate_exact dereplicate_near best_hit best_hsp "
+    "group_split cluster_ids kmer_search hsp_search jaccard_pairs dereplicate_exact dereplicate_near best_hit best_hsp "
     "residue_batches parse_prodigal_header annotation_scan fasta_roundtrip standardize predict_linear"
 ).split()
 
