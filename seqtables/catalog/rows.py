@@ -56,16 +56,11 @@ def drop_null_seq(t):
     return _letters(clean.drop_null_seq(holes)).select("id", "length")
 
 
-@query("select id, label as kind, features[1] as f0, features[2] as f1, features[11] as f2 from {vectors}")
+@query(f"select id, label as kind, {', '.join(f'features[{i + 1}] as f{i}' for i in range(64))} from {{vectors}}")
 def wide_to_vector(t):
-    wide = t.vectors.select(
-        "id",
-        F.get("features", F.lit(10)).alias("10"),
-        F.get("features", F.lit(1)).alias("2"),
-        F.get("features", F.lit(0)).alias("0"),
-        F.col("label").alias("kind"),
-    )
-    return clean.wide_to_vector(wide).select("id", "kind", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(3)])
+    # columns in falling order, so that only their names say where an element belongs
+    wide = t.vectors.select("id", *[F.get("features", F.lit(i)).alias(str(i)) for i in reversed(range(64))], F.col("label").alias("kind"))
+    return clean.wide_to_vector(wide).select("id", "kind", *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(64)])
 
 
 @query("select id, coalesce(lang, 'none') as lang, coalesce(quality, 'none') as quality from {labels_docs}")
@@ -142,7 +137,10 @@ def outlier_anti(t):
     return stats.group_counts(clean.without(hits, outliers, "query_id"), "query_id")
 
 
-@query()
+@query(
+    """select id, source, domain, name, non_terminal_residue, length(seq) as length from {seqs} where length(seq) >= 10 and length(seq) < 500
+       order by md5(id || '_42'), id limit 200"""
+)
 def sample_n(t):
     return clean.sample_rows(_letters(clean.filter_length(t.seqs, 10, 500)), 200)
 

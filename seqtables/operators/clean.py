@@ -141,8 +141,8 @@ def with_source(df: DataFrame, **literals) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """n rows in a seeded pseudo-random order that no partitioning changes."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+    """n rows in a seeded pseudo-random order, the MD5 of key and seed, that no partitioning changes."""
+    return df.orderBy(F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def cast_declared(df: DataFrame, types: Mapping[str, str], lenient: bool = True) -> DataFrame:
