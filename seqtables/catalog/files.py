@@ -206,7 +206,7 @@ def xml_entries(t):
 select 'T' || cast(id as varchar) || '_' || feature as locus_tag, feature, 'CONTIG' || cast(id as varchar) as contig_id, case feature when 'CDS' then 1 else -1 end as strand,
        case feature when 'CDS' then 1 + id % 7 else 31 end as start, case feature when 'CDS' then 90 + id % 5 else 60 end as stop, case feature when 'CDS' then '10' else '00' end as partial,
        case feature when 'CDS' then 'some, other' end as product, case feature when 'CDS' then id % 2 = 0 end as frameshifted, case feature when 'CDS' then false end as incomplete,
-       case feature when 'CDS' then id % 2 = 1 end as internal_stop, case feature when 'CDS' then left(seq, 70) end as seq, feature = 'tRNA' as pseudo, length(seq) as n_nt
+       case feature when 'CDS' then id % 2 = 1 end as internal_stop, case feature when 'CDS' then nullif(seq, '') end as seq, feature = 'tRNA' as pseudo, length(seq) as n_nt
 from {seqs}, (values ('CDS'), ('tRNA')) as f(feature)"""
 )
 def gbff_features(t):
@@ -219,7 +219,7 @@ def gbff_features(t):
         (1 + F.col("id") % 7).cast("string"), F.lit(".."), (90 + F.col("id") % 5).cast("string"), F.lit("\n" + pad + '/locus_tag="T'), tag,
         F.lit('_CDS"\n' + pad + '/product="some"\n' + pad + '/product="other"\n' + pad + '/note="'),
         F.when(F.col("id") % 2 == 0, "frameshifted").otherwise("internal stop"),
-        F.lit('"\n' + pad + '/translation="'), F.substring("seq", 1, 40), F.lit("\n" + pad), F.substring("seq", 41, 30),
+        F.lit('"\n' + pad + '/translation="'), F.regexp_replace("seq", "(.{58})", "$1\n" + pad),
         F.lit('"\n     tRNA            complement(31..60)\n' + pad + '/locus_tag="T'), tag, F.lit('_tRNA"\n' + pad + "/pseudo\n"),
         F.lit("     repeat_region   5..9\n" + pad + '/note="no tag"\nORIGIN\n        1 '), whole,
     )

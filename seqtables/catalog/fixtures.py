@@ -44,15 +44,16 @@ select {_LINE_ID} as locus_tag, concat('C', cast(l_suppkey as string)) as contig
        case when l_orderkey % 10 = 0 then 'tRNA' when l_orderkey % 10 = 1 then 'misc_feature' else 'CDS' end as feature,
        (l_returnflag = 'R' and l_orderkey % 10 > 1) as pseudo
 from {{lineitem}}""",
-    # Genes that lie inside the contigs of ``dna``.
+    # Genes inside the contigs of ``dna``: every line item, dealt over all contigs by place of their ids.
     "contig_genes": f"""
-select {_LINE_ID} as id, l_suppkey as contig_id,
-       1 + (l_partkey * 7) % greatest(1, d.size - 3 * cast(l_quantity as bigint)) as start,
-       1 + (l_partkey * 7) % greatest(1, d.size - 3 * cast(l_quantity as bigint)) + 3 * cast(l_quantity as bigint) - 1 as stop,
+select {_LINE_ID} as id, d.id as contig_id, 1 + (l_partkey * 7) % (d.size - 3 * n_codons + 1) as start,
+       1 + (l_partkey * 7) % (d.size - 3 * n_codons + 1) + 3 * n_codons - 1 as stop,
        case when l_linestatus = 'O' then 1 else -1 end as strand,
        case when l_returnflag = 'A' then 11 when l_returnflag = 'R' then 4 else 25 end as translation_table
-from {{lineitem}} join (select id, length(nt) as size from {{dna}}) d on l_suppkey = d.id
-where d.size >= 3 * cast(l_quantity as bigint)""",
+from (select i.*, d.id, d.size, least(cast(l_quantity as bigint), cast(floor(d.size / 3) as bigint)) as n_codons
+      from (select l.*, least_id + (l_orderkey + 13 * l_partkey + l_linenumber) % (most_id - least_id + 1) as place
+            from {{lineitem}} l cross join (select min(id) as least_id, max(id) as most_id from {{dna}}) b) i
+      join (select id, length(nt) as size from {{dna}}) d on i.place = d.id where d.size >= 3) d""",
     "headers": """
 select id, concat('# ', cast(start as string), ' # ', cast(stop as string), ' # ', cast(strand as string), ' # ID=', id,
        ';partial=', partial, ';start_type=ATG;rbs_motif=None;rbs_spacer=None;gc_cont=0.', cast(10 + start % 90 as string)) as description

@@ -205,15 +205,15 @@ def translate_codons(nt: Column, table: Column | int = 11, readthrough: str = "U
         wide = lookup(ambiguous_code)
     letters = "".join(AMBIGUOUS_BASES)
     codons = F.regexp_extract_all(nt, F.lit("(?s).{3}"), F.lit(0))
+    # all plain codons in the order of the code, four letters apart
+    listed = F.lit(" ".join("".join(codon) for codon in product(CODON_BASES, repeat=3)))
 
     def residue(gene: Column, codon: Column) -> Column:
-        at = [F.instr(F.lit(CODON_BASES), F.substring(codon, k, 1)) for k in (1, 2, 3)]
-        plain = (at[0] > 0) & (at[1] > 0) & (at[2] > 0)
         any_of = [F.instr(F.lit(letters), F.substring(codon, k, 1)) for k in (1, 2, 3)]
         known = (any_of[0] > 0) & (any_of[1] > 0) & (any_of[2] > 0)
         n = len(letters)
         return (
-            F.when(plain, F.substring(gene["code"], (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2], 1))
+            F.when(codon.rlike("^[TCAG]{3}$"), F.substring(gene["code"], ((F.instr(listed, codon) + 3) / 4).cast("int"), 1))
             .when(known, F.substring(gene["wide"], (any_of[0] - 1) * n * n + (any_of[1] - 1) * n + any_of[2], 1))
             .otherwise("X")
         )

@@ -5,24 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqtables.functions.sequence import (
-    STOP_CODONS,
-    nucleotide_slice,
-    reverse_complement,
-    start_codon,
-    stop_codon,
-    translate_codons,
-)
+from seqtables.functions.sequence import reverse_complement, start_codon, stop_codon, translate_codons
+from seqtables.operators.tiles import WIDTH, contig_tiles, next_stops, slices
 
 
-def gene_nucleotides(genes: DataFrame, contigs: DataFrame) -> DataFrame:
+def _sized(genes: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Genes on known contigs with the length of their contig."""
+    return genes.join(contigs.select("contig_id", F.length("nt").cast("long").alias("__size")), "contig_id")
+
+
+def _with_slices(rows: DataFrame, tiles: DataFrame, first: str, last: str, strand: Column, name: str, width: int) -> DataFrame:
+    """Add the nucleotides from ``first`` to ``last`` on the strand; what lies outside the contig is left out."""
+    bounded = rows.withColumns(
+        {"__first": F.greatest(F.col(first), F.lit(1)).cast("long"), "__last": F.least(F.col(last), F.col("__size")).cast("long")}
+    )
+    wanted = bounded.select("contig_id", F.col("__first").alias("first"), F.col("__last").alias("last")).distinct()
+    found = slices(wanted, tiles, width).withColumnsRenamed({"contig_id": "__c", "first": "__f", "last": "__l", "piece": "__piece"})
+    keys = (F.col("contig_id") == F.col("__c")) & (F.col("__first") == F.col("__f")) & (F.col("__last") == F.col("__l"))
+    known = F.col(first).isNotNull() & F.col(last).isNotNull() & F.col("__size").isNotNull()
+    piece = F.when(known, F.coalesce("__piece", F.lit("")))
+    read = F.when(strand < 0, reverse_complement(piece)).otherwise(piece)
+    return bounded.join(found, keys, "left").withColumn(name, read).drop("__c", "__f", "__l", "__piece", "__first", "__last")
+
+
+def gene_nucleotides(genes: DataFrame, contigs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Add ``nt`` on the gene's strand and ``in_frame`` (length divisible by three).
 
-    The join carries whole contigs, but only the slice leaves it.
+    Contigs are met as tiles: each distinct interval takes its letters from the tiles it touches.
+    Places outside the contig are left out; genes on unknown contigs are, too.
     """
-    joined = genes.alias("g").join(contigs.select("contig_id", F.col("nt").alias("contig_nt")), "contig_id")
-    nt = nucleotide_slice(F.col("contig_nt"), F.col("start"), F.col("stop"), F.col("strand"))
-    return joined.select("g.*", nt.alias("nt")).withColumn("in_frame", F.length("nt") % 3 == 0)
+    cut = _with_slices(_sized(genes, contigs), contig_tiles(contigs, width), "start", "stop", F.col("strand"), "nt", width)
+    return cut.select(*genes.columns, "nt").withColumn("in_frame", F.length("nt") % 3 == 0)
 
 
 def with_codons(genes: DataFrame) -> DataFrame:
@@ -30,53 +43,45 @@ def with_codons(genes: DataFrame) -> DataFrame:
     return genes.withColumns({"start_codon": start_codon(F.col("nt")), "stop_codon": stop_codon(F.col("nt"))})
 
 
-def _downstream(nt: Column, start: Column, stop: Column, strand: Column, reach: int | None) -> Column:
-    """Nucleotides after the gene's end on its strand, without the last one of the contig.
-
-    ``reach`` bounds how far to look; None takes everything up to the contig end.
-    """
-    size = F.length(nt)
-    ahead = F.greatest(size - 1 - stop, F.lit(0))
-    behind = F.greatest(start - 2, F.lit(0))
-    if reach is not None:
-        ahead, behind = F.least(ahead, F.lit(reach)), F.least(behind, F.lit(reach))
-    forward = F.substring(nt, (stop + 1).cast("int"), ahead.cast("int"))
-    backward = reverse_complement(F.substring(nt, (start - behind).cast("int"), behind.cast("int")))
-    return F.when(strand < 0, backward).otherwise(forward)
-
-
-def extend_orfs(genes: DataFrame, contigs: DataFrame, table: Column | int = 11, reach: int = 1500, error: str = "ignore") -> DataFrame:
+def extend_orfs(
+    genes: DataFrame, contigs: DataFrame, table: Column | int = 11, error: str = "ignore", width: int = WIDTH
+) -> DataFrame:
     """Extend each gene in frame to the next stop codon of its strand.
 
     A stop that ends flush with the contig is not seen. Without a stop the extension is 0,
-    or the job fails with ``error='raise'``. A short slice is searched first; only genes
-    without a stop in it look through the rest of their contig.
+    or the job fails with ``error='raise'``. Stops come from the gene's tile and, beyond it, from
+    an index of the nearest stops per frame.
     """
-    pattern = f"^(?:.{{3}})*?(?:{'|'.join(STOP_CODONS)})"
-    nt, start, stop, strand = (F.col(c) for c in ("contig_nt", "start", "stop", "strand"))
-
-    def search(limit: int | None) -> Column:
-        found = F.regexp_extract(_downstream(nt, start, stop, strand, limit), pattern, 0)
-        return F.nullif(found, F.lit(""))
-
-    missing = F.raise_error(F.lit("no stop codon downstream")).cast("string") if error == "raise" else F.lit("")
-    joined = genes.alias("g").join(contigs.select("contig_id", F.col("nt").alias("contig_nt")), "contig_id")
-    sliced = joined.select(
-        "g.*",
-        nucleotide_slice(nt, start, stop, strand).alias("__nt"),
-        F.coalesce(search(reach), search(None), missing).alias("__extra"),
+    tiles = contig_tiles(contigs, width)
+    start, stop, size = F.col("start").cast("long"), F.col("stop").cast("long"), F.col("__size")
+    backward = F.coalesce(F.col("strand") < 0, F.lit(False))
+    sized = _sized(genes, contigs).withColumns({"__back": backward, "__codon": F.when(backward, start - 3).otherwise(stop + 1)})
+    inside = sized.where(F.when(F.col("__back"), (F.col("__codon") >= 2) & (start <= size + 1)).otherwise(F.col("__codon") + 2 < size))
+    places = inside.select("contig_id", F.col("__codon").alias("codon"), F.col("__back").alias("backward")).distinct()
+    found = next_stops(places, tiles, width).withColumnsRenamed({"contig_id": "__c", "codon": "__p", "backward": "__b", "found": "__found"})
+    keys = (F.col("contig_id") == F.col("__c")) & (F.col("__codon") == F.col("__p")) & (F.col("__back") == F.col("__b"))
+    at = F.col("__found")
+    extra = F.when(F.col("__back"), F.when(at >= 2, start - at)).otherwise(F.when(at + 2 < size, at + 2 - stop))
+    missing = F.raise_error(F.lit("no stop codon downstream")).cast("long") if error == "raise" else F.lit(0).cast("long")
+    grown = sized.join(found, keys, "left").withColumn("__extra", F.coalesce(extra, missing)).drop("__c", "__p", "__b", "__found")
+    grown = grown.withColumns(
+        {
+            "__from": F.when(F.col("__back"), start - F.col("__extra")).otherwise(start),
+            "__to": F.when(F.col("__back"), stop).otherwise(stop + F.col("__extra")),
+        }
     )
-    size = F.length("__extra").cast("long")
-    whole = F.concat("__nt", "__extra")
-    return sliced.select(
-        *[c for c in genes.columns],
-        F.length("__nt").cast("long").alias("original_length"),
-        size.alias("extension_size"),
-        (size / 3).cast("long").alias("extension_residues"),
-        F.when(strand < 0, start - size).otherwise(start).alias("extended_start"),
-        F.when(strand < 0, stop).otherwise(stop + size).alias("extended_stop"),
-        F.right("__nt", F.lit(3)).alias("original_stop_codon"),
-        F.right(whole, F.lit(3)).alias("stop_codon"),
-        F.left("__nt", F.lit(3)).alias("start_codon"),
-        translate_codons(whole, table).alias("seq"),
+    whole = _with_slices(grown, tiles, "__from", "__to", F.col("strand"), "__whole", width)
+    extension = F.col("__extra")
+    own = F.left("__whole", F.length("__whole") - F.col("__extra").cast("int"))
+    return whole.select(
+        *genes.columns,
+        F.length(own).cast("long").alias("original_length"),
+        extension.alias("extension_size"),
+        (extension / 3).cast("long").alias("extension_residues"),
+        F.col("__from").alias("extended_start"),
+        F.col("__to").alias("extended_stop"),
+        F.right(own, F.lit(3)).alias("original_stop_codon"),
+        F.right("__whole", F.lit(3)).alias("stop_codon"),
+        F.left(own, F.lit(3)).alias("start_codon"),
+        translate_codons(F.col("__whole"), table).alias("seq"),
     )

@@ -77,12 +77,29 @@ def test_extension_equals_brute_force(spark):
         start = rng.randrange(1, size - 6)
         stop = start + 3 * rng.randrange(1, (size - start) // 3 + 1) - 1
         genes.append((f"g{i}", name, start, stop, rng.choice([1, -1])))
-    got = orf.extend_orfs(
-        spark.createDataFrame(genes, GENE), spark.createDataFrame(list(contigs.items()), "contig_id string, nt string"), reach=12
-    )
-    found = {r.id: r.extension_size for r in got.collect()}
-    assert found == {g[0]: brute_extension(contigs[g[1]], *g[2:]) for g in genes}
+    made = spark.createDataFrame(genes, GENE)
+    sequences = spark.createDataFrame(list(contigs.items()), "contig_id string, nt string")
+    for width in (3, 12, 8190):
+        found = {r.id: r.extension_size for r in orf.extend_orfs(made, sequences, width=width).collect()}
+        assert found == {g[0]: brute_extension(contigs[g[1]], *g[2:]) for g in genes}
     assert found["flush"] == 0 and max(found.values()) > 12
+    cut = {r.id: r.nt for r in orf.gene_nucleotides(made, sequences, width=6).collect()}
+    pairs = str.maketrans("ACGT", "TGCA")
+    for name, contig, start, stop, strand in genes:
+        nt = contigs[contig][start - 1 : stop]
+        assert cut[name] == (nt if strand > 0 else nt[::-1].translate(pairs))
+
+
+def test_genes_off_their_contig(spark):
+    genes = [("a", "c", -4, 3, 1), ("b", "c", 5, 99, -1), ("c", "c", 50, 60, 1), ("d", "c", 50, 60, -1), ("e", "c", None, 4, 1), ("f", "no", 1, 3, 1), ("g", "null", 1, 3, 1), ("a", "c", -4, 3, 1)]
+    contigs = spark.createDataFrame([("c", "ACGTTAAC"), ("null", None), ("empty", "")], "contig_id string, nt string")
+    made = spark.createDataFrame(genes, GENE).withColumn("text", F.lit("x"))
+    cut = [(r.id, r.nt, r.text) for r in orf.gene_nucleotides(made, contigs).collect()]
+    assert sorted(cut) == sorted([("a", "ACG", "x"), ("a", "ACG", "x"), ("b", "GTTA", "x"), ("c", "", "x"), ("d", "", "x"), ("e", None, "x"), ("g", None, "x")])
+    grown = {r.id: (r.extension_size, r.stop_codon) for r in orf.extend_orfs(made, contigs).collect()}
+    assert grown["a"] == (0, "ACG") and grown["c"] == (0, "") and grown["d"] == (0, "") and set(grown) == set("abcdeg")
+    none = contigs.limit(0)
+    assert orf.gene_nucleotides(made, none).count() == 0 and orf.extend_orfs(made.limit(0), contigs).count() == 0
 
 
 def test_running_sums_and_rows(spark):
