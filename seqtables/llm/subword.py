@@ -9,12 +9,13 @@ text is the product of the sums of its words, each found by a forward recursion
 from __future__ import annotations
 
 import math
-from collections import Counter
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁".encode()
 PRIOR = 10_000.0  # training pieces' worth of the vocabulary's own scores
 CHUNK = 16 << 20  # bytes of text that a task scores at once
+LONG = 1 << 12  # bytes of a word beyond which its lattice shares nothing with others
 LN10 = math.log(10)
 
 
@@ -82,29 +84,79 @@ def _forward(ends: list[list[tuple[int, int]]], logs: list[float]) -> list[float
     """Log-probability of all segmentations of each beginning of the word."""
     ahead = [0.0]
     for edges in ends[1:]:
-        terms = [ahead[i] + logs[p] for i, p in edges]
-        if len(terms) < 2:
-            ahead.append(terms[0] if terms else -math.inf)
-        else:
-            most = max(terms)
-            ahead.append(most + math.log(sum([math.exp(t - most) for t in terms])) if most > -math.inf else most)
+        ahead.append(_log_sum([ahead[i] + logs[p] for i, p in edges]))
     return ahead
 
 
+def _log_sum(terms: list[float]) -> float:
+    if len(terms) < 2:
+        return terms[0] if terms else -math.inf
+    most = max(terms)
+    return most + math.log(sum([math.exp(t - most) for t in terms])) if most > -math.inf else most
+
+
 def word_log(word: bytes, pieces: Pieces) -> float:
     """Natural log of the summed probability of all segmentations of a word."""
     return _forward(_edges(START + word, pieces.trie), pieces.logs)[-1]
 
 
+def lattices(words: list[bytes], pieces: Pieces) -> Iterator[tuple[int, list[list[tuple[int, int]]], list[float]]]:
+    """(place in ``words``, edges, forward logs) of each word, in byte order of the words.
+
+    Neighbours in that order share their beginnings, and with them edges, logs and the pieces that
+    are still being read; only what follows is worked out anew. The lists are reused from word to
+    word. Words of over ``LONG`` bytes stand alone, so that nothing large is kept.
+    """
+    trie, logs = pieces.trie, pieces.logs
+    ends: list[list[tuple[int, int]]] = [[]]
+    open_at: list[list[tuple[int, dict]]] = [[(0, trie)]]
+    ahead = [0.0]
+    last = b""
+    for at in sorted(range(len(words)), key=words.__getitem__):
+        word = START + words[at]
+        if len(word) > LONG:
+            alone = _edges(word, trie)
+            yield at, alone, _forward(alone, logs)
+            continue
+        same = len(os.path.commonprefix((last, word)))
+        del ends[same + 1 :], open_at[same + 1 :], ahead[same + 1 :]
+        for j in range(same, len(word)):
+            byte = word[j]
+            going, here, terms = [], [], []
+            for i, node in open_at[j]:
+                node = node.get(byte)
+                if node is not None:
+                    going.append((i, node))
+                    piece = node.get(-1)
+                    if piece is not None:
+                        here.append((i, piece))
+                        terms.append(ahead[i] + logs[piece])
+            going.append((j + 1, trie))
+            ends.append(here)
+            open_at.append(going)
+            ahead.append(_log_sum(terms))
+        last = word
+        yield at, ends, ahead
+
+
 def expect(word: bytes, times: float, pieces: Pieces, into: list[float]) -> None:
     """Add how often each piece is expected in ``times`` copies of the word."""
-    ends, logs = _edges(START + word, pieces.trie), pieces.logs
-    ahead = _forward(ends, logs)
+    ends = _edges(START + word, pieces.trie)
+    _backward(ends, _forward(ends, pieces.logs), times, pieces.logs, into)
+
+
+def _backward(ends: list[list[tuple[int, int]]], ahead: list[float], times: float, logs: list[float], into: list[float]) -> None:
     share = [0.0] * len(ends)  # posterior probability that a piece ends here
     share[-1] = times
     for j in range(len(ends) - 1, 0, -1):
         if share[j]:
-            for i, p in ends[j]:
+            edges = ends[j]
+            if len(edges) == 1:
+                i, p = edges[0]
+                into[p] += share[j]
+                share[i] += share[j]
+                continue
+            for i, p in edges:
                 part = share[j] * math.exp(ahead[i] + logs[p] - ahead[j])
                 into[p] += part
                 share[i] += part
@@ -115,6 +167,18 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _cut(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of texts as ``words_of`` gives them: words per text, distinct words, and each word's place among these."""
+    flat = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    plain = pc.fill_null(flat.cast(pa.large_string(), safe=False), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+    words = lists.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0)
+    owner = pc.list_parent_indices(lists).filter(full).to_numpy()
+    coded = words.filter(full).dictionary_encode()
+    return np.bincount(owner, minlength=len(flat)), coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy()
+
+
 def _training(doc_id: Column) -> Column:
     return ~F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
@@ -123,23 +187,14 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(word, n) over all texts; the empty word stands for the ends of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.update(words_of(value))
-                held[b""] += 1
-            if len(held) > 500_000:
-                yield _counted(held)
-                held = Counter()
-        yield _counted(held)
+            _, names, codes = _cut(batch.column(0))
+            n = np.append(np.bincount(codes, minlength=len(names)), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array([*names.to_pylist(), b""], pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
     return docs.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-
 def learn(counts: DataFrame, pieces: Pieces, prior: float = PRIOR) -> tuple[Pieces, int, int]:
     """Pieces with probabilities after one expectation step, the number of training tokens and of distinct ones."""
     shared = counts.sparkSession.sparkContext.broadcast(pieces)
@@ -148,12 +203,13 @@ def learn(counts: DataFrame, pieces: Pieces, prior: float = PRIOR) -> tuple[Piec
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums, tokens, kinds = shared.value, [0.0] * size, 0, 0
         for batch in batches:
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens, kinds = tokens + n, kinds + 1
-                if word:
-                    expect(word, n, known, sums)
+            words, ns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            tokens, kinds = tokens + sum(ns), kinds + len(ns)
+            for at, ends, ahead in lattices(words, known):
+                if words[at]:
+                    _backward(ends, ahead, ns[at], known.logs, sums)
                 else:
-                    sums[-1] += n
+                    sums[-1] += ns[at]
         found = [i for i, x in enumerate(sums) if x]
         yield pa.RecordBatch.from_arrays(
             [pa.array([*found, -1, -2], pa.int64()), pa.array([*(sums[i] for i in found), float(tokens), float(kinds)])], names=["piece", "n"]
@@ -187,16 +243,18 @@ def score(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "do
     dealt = dealt.withColumn("learn", _training(F.col("doc_id")))
 
     def vocabulary(table: pa.Table) -> pa.Table:
-        held: Counter = Counter()
-        heard: set[bytes] = set()
-        for value, learned in zip(table.column("text").to_pylist(), table.column("learn").to_pylist()):
-            found = words_of(value)
-            (held if learned else heard).update(found)
-        names = sorted(held.keys() | heard)
-        counts = [held[w] for w in names]
-        chunk = table.column("chunk")[0].as_py()
+        sizes, names, codes = _cut(table.column("text"))
+        learned = np.repeat(table.column("learn").to_numpy(), sizes)
+        counts = np.bincount(codes[learned.astype(bool)], minlength=len(names))
+        order = pc.sort_indices(names)  # the order of the rows of a chunk may differ the next time
+        size, chunk = len(names), table.column("chunk")[0].as_py()
         return pa.table(
-            {"word": pa.array(names, pa.binary()), "n": pa.array(counts, pa.int64()), "chunk": pa.array([chunk] * len(names), pa.int32()), "place": pa.array(range(len(names)), pa.int32())}
+            {
+                "word": names.take(order).cast(pa.binary()),
+                "n": pa.array(counts[order.to_numpy()], pa.int64()),
+                "chunk": pa.array(np.full(size, chunk, np.int32)),
+                "place": pa.array(np.arange(size, dtype=np.int32)),
+            }
         )
 
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
@@ -204,7 +262,10 @@ def score(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "do
     def lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            logs = [word_log(w, known) / LN10 for w in batch.column(0).to_pylist()]
+            words = batch.column(0).to_pylist()
+            logs = [0.0] * len(words)
+            for at, _, ahead in lattices(words, known):
+                logs[at] = ahead[-1] / LN10
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(logs, pa.float64())], names=["n", "places", "log"])
 
     per_chunk = dealt.groupBy("chunk").applyInArrow(vocabulary, "word binary, n long, chunk int, place int")
@@ -220,16 +281,16 @@ def score(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "do
         n, log = np.zeros(len(place), np.int64), np.zeros(len(place))
         n[place], log[place] = scores.column("n").to_numpy(), scores.column("log").to_numpy()
         base = np.log10(n + 1.0)
-        found = [words_of(value) for value in texts.column("text").to_pylist()]
-        names: set[bytes] = set()
-        for words in found:
-            names.update(words)
-        at = {w: i for i, w in enumerate(sorted(names))}
-        out = []
-        for words in found:
-            ids = np.array([at[w] for w in words], np.int64)
-            counts = n[ids]
-            out.append((len(words) + 1, int((counts > 0).sum()), float(base[ids].sum()), float(log[ids].sum())))
+        sizes, names, codes = _cut(texts.column("text"))
+        rank = np.empty(len(names), np.int64)
+        rank[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        ids = rank[codes]
+        known_at, base_at, log_at = n[ids] > 0, base[ids], log[ids]
+        out, begin = [], 0
+        for size in sizes.tolist():
+            part = slice(begin, begin + size)
+            out.append((size + 1, int(known_at[part].sum()), float(base_at[part].sum()), float(log_at[part].sum())))
+            begin += size
         a, b, c, d = zip(*out) if out else ((), (), (), ())
         return pa.table({"doc_id": texts.column("doc_id"), "learn": texts.column("learn"), "n_tokens": pa.array(a, pa.int64()), "n_words": pa.array(b, pa.int64()), "base": pa.array(c, pa.float64()), "log": pa.array(d, pa.float64())})
 

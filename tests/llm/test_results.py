@@ -10,6 +10,7 @@ import zlib
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from checking import DATA, compare, connect
@@ -363,3 +364,27 @@ def test_verdicts_do_not_depend_on_rounding(spark):
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3].distrust == 0.0 and got[3].trust == 0.0
     assert [got[i].verdict for i in range(5)] == ["block", "block", "block", "block", "allow"]
+
+
+def test_words_that_share_beginnings_score_as_alone():
+    pieces = subword.load()
+    words = [b"", b"a", b"ab", b"abc", b"abd", b"b" * 20, b"a" * (subword.LONG + 5), "日本語".encode(), "日本".encode(), b"\x00\xff", b"abc"]
+    got = {at: (ahead[-1], [list(x) for x in ends]) for at, ends, ahead in subword.lattices(words, pieces)}
+    assert got == {at: (subword.word_log(w, pieces), subword._edges(subword.START + w, pieces.trie)) for at, w in enumerate(words)}
+    sums, alone = [0.0] * len(pieces.logs), [0.0] * len(pieces.logs)
+    for at, ends, ahead in subword.lattices(words, pieces):
+        subword._backward(ends, ahead, at + 1.0, pieces.logs, sums)
+    for at, word in enumerate(words):
+        subword.expect(word, at + 1.0, pieces, alone)
+    assert max(abs(a - b) for a, b in zip(sums, alone)) < 1e-6
+
+
+def test_texts_are_cut_alike_in_batches():
+    texts = ["  A b\tc\x0bd\x0ce\rf\n", "", None, "x Y y  z Äb\u0085q", "a\x1cb \x1fc", "a a A", "w" * 3_000_000, "one " * 700_000]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.chunked_array([texts[:3], texts[3:]]), pa.array([], pa.string()), pa.nulls(2, pa.string())):
+        sizes, names, codes = subword._cut(column)
+        names, at = names.to_pylist(), 0
+        for size, text in zip(sizes.tolist(), column.to_pylist(), strict=True):
+            assert [names[c] for c in codes[at : at + size]] == subword.words_of(text)
+            at += size
+        assert at == len(codes)
