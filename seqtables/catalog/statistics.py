@@ -149,20 +149,31 @@ def group_mean_sem(t):
 def _mwu_sql(source: str, key: str = "") -> str:
     by, lead = (f"group by {key}", f"{key}, ") if key else ("", "")
     part = f"partition by {key}" if key else ""
+    # Orders counted by rank sum stand for the exact distribution, Simpson's rule for the normal one.
     return f"""
-with v as materialized ({source}), c as (select {lead}v, sum(cast(first as bigint)) as a, sum(1 - cast(first as bigint)) as b from v group by {lead}v),
+with recursive v as materialized ({source}), c as (select {lead}v, sum(cast(first as bigint)) as a, sum(1 - cast(first as bigint)) as b from v group by {lead}v),
 r as (select {lead}a, b, coalesce(sum(b) over ({part} order by v rows between unbounded preceding and 1 preceding), 0) as below from c),
 u as (select {lead}cast(sum(a) as bigint) as n1, cast(sum(b) as bigint) as n2, cast(sum(a * (below + 0.5 * b)) as double) as u,
              sum(pow(cast(a + b as double), 3) - cast(a + b as double)) as tie_term from r {by}),
-n as (select *, cast(n1 as double) as d1, cast(n2 as double) as d2 from u),
-z as (select *, sqrt(d1 * d2 / 12.0 * ((d1 + d2 + 1) - tie_term / ((d1 + d2) * (d1 + d2 - 1)))) as sigma from n)
-select {lead}n1, n2, round(u, 3) as u, round(tie_term, 3) as tie_term, round((abs(u - d1 * d2 / 2.0) - 0.5) / sigma, 9) as z from z"""
+n as (select *, cast(n1 as double) as d1, cast(n2 as double) as d2, tie_term = 0 and least(n1, n2) between 1 and 8 as exact from u),
+z as materialized (select *, (abs(u - d1 * d2 / 2.0) - 0.5) / nullif(sqrt(d1 * d2 / 12.0 * ((d1 + d2 + 1) - tie_term / nullif((d1 + d2) * (d1 + d2 - 1), 0))), 0) as z from n),
+ways as (select 0 as i, 0 as k, 0 as s, 1.0::double as ways
+         union all select i + 1, k + t, s + t * (i + 1), sum(ways) from ways, (values (0), (1)) as x(t) where i < (select max(n1 + n2) from z where exact) group by 1, 2, 3),
+tails as (select i - k as n2, k as n1, s - cast(floor(k * (k + 1) / 2) as bigint) as u, sum(ways) over (partition by i, k order by s desc) / sum(ways) over (partition by i, k) as tail from ways)
+select {lead}z.n1, z.n2, round(z.u, 3) as u, round(tie_term, 3) as tie_term, round(z, 9) as z,
+       round(case when z is not null then least(1.0, case when exact then 2 * tail else greatest(0.0, 1 - 2 * z / 6000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001),
+             lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-0.5 * pow(z * i / 2000, 2))))) end) end, 7) as p
+from z left join tails on exact and tails.n1 = z.n1 and tails.n2 = z.n2 and tails.u = greatest(z.u, d1 * d2 - z.u)"""
+
+
+def _tested(tests, *keys):
+    rounded = {"u": 3, "tie_term": 3, "z": 9, "p": 7}
+    return stats.mann_whitney_p(tests).select(*keys, "n1", "n2", *[F.round(c, digits).alias(c) for c, digits in rounded.items()])
 
 
 @query(_mwu_sql("select bit_score as v, sequence_identity < 5 as first from {hsps}"))
 def mann_whitney_u(t):
-    tested = stats.mann_whitney_u(t.hsps, "bit_score", F.col("sequence_identity") < 5)
-    return tested.select("n1", "n2", F.round("u", 3).alias("u"), F.round("tie_term", 3).alias("tie_term"), F.round("z", 9).alias("z"))
+    return _tested(stats.mann_whitney_u(t.hsps, "bit_score", F.col("sequence_identity") < 5))
 
 
 @query(
@@ -173,10 +184,12 @@ def mann_whitney_u(t):
 )
 def mwu_by_dim(t):
     long = stats.long_vectors(t.vectors, "label")
-    tested = stats.mann_whitney_p(stats.mann_whitney_u(long, "value", F.col("label") < 5, "dim"))
-    return tested.orderBy("p", "dim").select(
-        "dim", "n1", "n2", F.round("u", 3).alias("u"), F.round("tie_term", 3).alias("tie_term"), F.round("z", 9).alias("z")
-    )
+    return _tested(stats.mann_whitney_u(long, "value", F.col("label") < 5, "dim"), "dim").orderBy("p", "dim")
+
+
+@query(_mwu_sql("select o_custkey, cast(o_totalprice as double) as v, o_orderstatus = 'F' as first from {orders}", "o_custkey"))
+def mann_whitney_small(t):
+    return _tested(stats.mann_whitney_u(t.orders, "o_totalprice", F.col("o_orderstatus") == "F", "o_custkey"), "o_custkey")
 
 
 @query(

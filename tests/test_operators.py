@@ -1,5 +1,7 @@
+import collections
 import itertools
 import math
+import operator
 import random
 
 import pytest
@@ -132,6 +134,37 @@ def test_mann_whitney_equals_brute_force(spark):
     assert u + other == len(a) * len(b)
 
 
+def test_small_samples_have_exact_p(spark):
+    rng = random.Random(8)
+    rows = [(g, v, i < n1) for g, (n1, n2) in enumerate(((1, 1), (1, 6), (3, 4), (5, 5), (8, 2), (4, 7), (0, 3))) for i, v in enumerate(rng.sample(range(100), n1 + n2))]
+    rows += [(7, 1, True), (7, 1, False), (7, 2, True), (8, None, True), (8, 3, None)]
+    tests = stats.mann_whitney_u(spark.createDataFrame(rows, "g int, v int, first boolean"), "v", F.col("first"), "g")
+    found = {side: {r.g: r.p for r in stats.mann_whitney_p(tests, side).collect()} for side in ("two-sided", "less", "greater")}
+    assert set(found["less"]) == set(range(8)) and found["less"][6] is None
+    for g in range(6):
+        values = sorted(v for h, v, _ in rows if h == g)
+        own = [values.index(v) for h, v, first in rows if h == g and first]
+        every = [sum(c) for c in itertools.combinations(range(len(values)), len(own))]
+        more, less = (sum(f(x, sum(own)) for x in every) / len(every) for f in (operator.ge, operator.le))
+        got = [found[side][g] for side in ("greater", "less", "two-sided")]
+        assert got == pytest.approx([more, less, min(1.0, 2 * min(more, less))])
+    # beyond the centre the differences cancel: compare with whole numbers
+    for m, n in ((8, 60), (5, 200)):
+        ways = [collections.Counter() for _ in range(m + 1)]
+        ways[0][0] = 1
+        for rank in range(m + n):
+            for k in range(m, 0, -1):
+                for total, w in ways[k - 1].items():
+                    ways[k][total + rank] += w
+        least = m * (m - 1) // 2
+        for u in (1, m * n // 3, m * n // 2, m * n - 3):
+            want = sum(w for total, w in ways[m].items() if total - least >= u) / math.comb(m + n, m)
+            assert stats._exact_tail(m, n, u) == pytest.approx(want, rel=1e-10)
+        total = math.comb(m + n, m)
+        assert stats._exact_tail(m, n, 0) == 1 and stats._exact_tail(m, n, m * n) == pytest.approx(1 / total)
+        assert stats._exact_tail(n, m, m * n / 2) + stats._exact_tail(m, n, m * n // 2 + 1) == pytest.approx(1)
+
+
 def test_ecdf_is_strict_and_monotone(spark):
     df = spark.createDataFrame([("a", x) for x in (0.0, 0.5, 0.5, 2.0)], "g string, v double")
     rows = stats.ecdf(df, "v", "g", 1.0, 3).orderBy("x").collect()
