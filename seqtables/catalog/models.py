@@ -61,9 +61,18 @@ def predict_linear(t):
     return scored.select("id", "prediction", *[F.round(f"probability_{c}", 6).alias(f"probability_{c}") for c in range(CLASSES)])
 
 
-@query()
-def train_mlp(t):
+def _trained(t):
     rows = t.vectors.withColumn("label", F.col("label") % CLASSES)
     part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(7)), F.lit(10))
-    fitted = model.train_classifier(rows.where(part < 7), rows.where(part >= 7), CLASSES, hidden=(32,), max_iters=(10, 30))
+    return rows, model.train_classifier(rows.where(part < 7), rows.where(part >= 7), CLASSES, hidden=(32,), epochs=3, steps=10)
+
+
+@query()
+def train_mlp(t):
+    rows, fitted = _trained(t)
     return fitted.predict(rows).select("id", "label", "prediction", *[f"probability_{c}" for c in range(CLASSES)])
+
+
+@query()
+def training_curve(t):
+    return _trained(t)[1].training_curve(t.spark)

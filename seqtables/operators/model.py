@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,13 +100,18 @@ def predict_linear(df: DataFrame, weights: Sequence[Sequence[float]], biases: Se
 
 @dataclass
 class Classifier:
-    """A fitted model with the scaling of its training data and its training curve."""
+    """The model of the best epoch, the scaling of its training data and the training curve.
+
+    ``last`` are the weights after the last epoch, where training goes on; their number is the
+    network's. A linear model has none.
+    """
 
     model: PipelineModel
     means: list[float]
     scales: list[float]
     classes: int
     curve: list[tuple]
+    last: list[float] = field(default_factory=list)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Scale, score and name the predictions of a table (id, features, ..)."""
@@ -115,16 +121,16 @@ class Classifier:
         return with_probabilities(kept, F.col("__prob"), self.classes).drop("__prob")
 
     def training_curve(self, spark: SparkSession) -> DataFrame:
-        """Table (max_iter, iterations, train_loss, val_accuracy, is_best)."""
+        """Table (epoch, iterations, train_loss, val_accuracy, is_best), epoch 0 before any step."""
         return spark.createDataFrame(
-            self.curve, "max_iter int, iterations int, train_loss double, val_accuracy double, is_best boolean"
+            self.curve, "epoch int, iterations int, train_loss double, val_accuracy double, is_best boolean"
         )
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the model, the scaling and the curve below a path."""
         self.model.write().overwrite().save(f"{path}/model")
-        stats = [(self.means, self.scales, self.classes)]
-        spark.createDataFrame(stats, "means array<double>, scales array<double>, classes int").write.mode(
+        stats = [(self.means, self.scales, self.classes, self.last)]
+        spark.createDataFrame(stats, "means array<double>, scales array<double>, classes int, last array<double>").write.mode(
             "overwrite"
         ).parquet(f"{path}/scaler")
         self.training_curve(spark).write.mode("overwrite").parquet(f"{path}/curve")
@@ -133,9 +139,9 @@ class Classifier:
     def load(cls, spark: SparkSession, path: str) -> Classifier:
         """Read what ``save`` wrote."""
         stats = spark.read.parquet(f"{path}/scaler").first()
-        curve = [tuple(row) for row in spark.read.parquet(f"{path}/curve").orderBy("max_iter").collect()]
+        curve = [tuple(row) for row in spark.read.parquet(f"{path}/curve").orderBy("epoch").collect()]  # a row per epoch
         model = PipelineModel.load(f"{path}/model")
-        return cls(model, list(stats.means), list(stats.scales), stats.classes, curve)
+        return cls(model, list(stats.means), list(stats.scales), stats.classes, curve, list(stats.last))
 
 
 def _to_vectors(df: DataFrame, means: list[float], scales: list[float]) -> DataFrame:
@@ -149,42 +155,61 @@ def train_classifier(
     val: DataFrame,
     classes: int,
     hidden: Sequence[int] = (512,),
-    max_iters: Sequence[int] = (25, 50, 100),
+    epochs: int = 20,
+    steps: int = 5,
     balanced: bool = True,
     weighted: bool = False,
     seed: int = 42,
+    resume: Classifier | None = None,
 ) -> Classifier:
-    """Train on (id, features, label) and keep the fit with the best balanced validation accuracy.
+    """Train on (id, features, label) epoch by epoch; the one with the best balanced validation accuracy stays.
 
-    The scaling is fitted on the training rows alone. ``balanced`` resamples the classes;
-    ``weighted`` fits a class-weighted linear model instead of the perceptron.
+    An epoch is ``steps`` full-batch steps from the weights of the epoch before; epoch 0 is the
+    untrained network. The scaling is fitted on the training rows alone. ``resume`` goes on after
+    the last epoch of a classifier, with its scaling and its best epoch so far. ``balanced``
+    resamples the classes; ``weighted`` fits a class-weighted linear model instead of the
+    perceptron, which Spark starts anew for every epoch with as many steps as all epochs so far.
     """
-    stats = fit_scaler(train).first()  # one row, one number per feature
-    means, scales = list(stats.means), list(stats.scales)
+    if resume is not None:
+        means, scales, classes = resume.means, resume.scales, resume.classes
+    else:
+        stats = fit_scaler(train).first()  # one row, one number per feature
+        means, scales = list(stats.means), list(stats.scales)
     rows = balanced_resample(train, seed=seed).drop("copy") if balanced and not weighted else train
     fitted = _to_vectors(rows, means, scales).select("__x", F.col("label").cast("double").alias("__y"), "label")
     if weighted:
         weights = class_weights(train, "label").select("label", F.col("weight").alias("__w"))
         fitted = fitted.join(weights, "label")
     fitted = fitted.persist()
-    best, curve = None, []
-    for steps in max_iters:
+    last = list(resume.last) if resume is not None else []
+    curve = [list(line) for line in resume.curve] if resume is not None else []
+    best = resume.model if resume is not None else None
+    top = max((line[3] for line in curve), default=-1.0)
+    begin = curve[-1][0] + 1 if curve else 0
+    taken = curve[-1][1] if curve else 0
+    for epoch in range(begin, begin + epochs + (resume is None)):
         if weighted:
-            trainer = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=steps, family="multinomial")
+            trainer = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=epoch * steps, family="multinomial")
         else:
             layers = [len(means), *hidden, classes]
-            trainer = MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__y", layers=layers, maxIter=steps, seed=seed)
+            trainer = MultilayerPerceptronClassifier(featuresCol="__x", labelCol="__y", layers=layers, maxIter=steps if epoch else 0, seed=seed)
+            if last:
+                trainer = trainer.setInitialWeights(Vectors.dense(last))
         model = trainer.fit(fitted)
-        history = list(model.summary().objectiveHistory if not weighted else model.summary.objectiveHistory)
+        summary = model.summary if weighted else model.summary()
+        history = list(summary.objectiveHistory)
+        if not weighted:
+            last = model.weights.toArray().tolist()
+        taken = max(len(history) - 1, 0) + (0 if weighted else taken)
         candidate = Classifier(PipelineModel([model]), means, scales, classes, [])
-        accuracy = balanced_accuracy(candidate.predict(val), "label", "prediction").first()[0]
-        curve.append([steps, len(history), float(history[-1]), float(accuracy), False])
-        if best is None or accuracy > best[0]:
-            best = (accuracy, candidate, len(curve) - 1)
+        accuracy = float(balanced_accuracy(candidate.predict(val), "label", "prediction").first()[0])
+        curve.append([epoch, taken, float(history[-1]), accuracy, False])
+        if best is None or accuracy > top:
+            best, top = candidate.model, accuracy
     fitted.unpersist()
-    curve[best[2]][-1] = True
-    best[1].curve = [tuple(line) for line in curve]
-    return best[1]
+    first = next(i for i, line in enumerate(curve) if line[3] == top)
+    curve = [(*line[:4], i == first) for i, line in enumerate(curve)]
+    return Classifier(best, means, scales, classes, curve, last)
 
 
 def predict_positives(classifier: Classifier, features: DataFrame) -> DataFrame:

@@ -328,7 +328,7 @@ def test_classifier(spark, tmp_path):
     rows = [(i, [rng.gauss(i % 2 * 3, 1), rng.gauss(0, 1)], i % 2) for i in range(200)]
     df = spark.createDataFrame(rows, "id int, features array<double>, label int")
     for weighted in (False, True):
-        fitted = model.train_classifier(df.where("id < 150"), df.where("id >= 150"), 2, (4,), (5, 20), weighted=weighted)
+        fitted = model.train_classifier(df.where("id < 150"), df.where("id >= 150"), 2, (4,), epochs=4, weighted=weighted)
         score = stats.balanced_accuracy(fitted.predict(df), "label", "prediction").first()[0]
         assert score > 0.85
         assert fitted.training_curve(spark).where("is_best").count() == 1
@@ -345,6 +345,25 @@ def test_classifier(spark, tmp_path):
     assert table.count() == model.predict_positives(loaded, df).count() and "ko" in table.columns
 
 
+def test_training_goes_on_from_the_last_epoch(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(i % 2 * 3, 1), rng.gauss(0, 1)], i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, features array<double>, label int").coalesce(1)
+    train, val = df.where("id < 90"), df.where("id >= 90")
+    whole = model.train_classifier(train, val, 2, (3,), epochs=3, steps=3)
+    begun = model.train_classifier(train, val, 2, (3,), epochs=1, steps=3)
+    begun.save(spark, str(tmp_path / "m"))
+    later = model.train_classifier(train, val, 2, (3,), epochs=2, steps=3, resume=model.Classifier.load(spark, str(tmp_path / "m")))
+    for fitted in (whole, later):
+        assert [line[0] for line in fitted.curve] == [0, 1, 2, 3] and sum(line[4] for line in fitted.curve) == 1
+        losses = [line[2] for line in fitted.curve]
+        assert losses == sorted(losses, reverse=True) and losses[3] < losses[0]
+        top = max(line[3] for line in fitted.curve)
+        kept = stats.balanced_accuracy(fitted.predict(val), "label", "prediction").first()[0]
+        assert kept == pytest.approx(top) and next(line for line in fitted.curve if line[4])[3] == top
+    assert later.last == pytest.approx(whole.last) and [x[2] for x in later.curve] == pytest.approx([x[2] for x in whole.curve])
+
+
 def test_pairs_along_the_strand(spark):
     rows = [("a", 1, 10, 1), ("a", 2, 30, 1), ("a", 3, 50, 1), ("b", 4, 10, -1), ("b", 5, 30, -1)]
     df = spark.createDataFrame(rows, "g string, id int, start long, strand int")
