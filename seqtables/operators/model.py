@@ -16,6 +16,7 @@ from seqtables.functions.numeric import argmax, cross_entropy, dot, softmax
 from seqtables.operators.stats import balanced_accuracy, balanced_sample_size, class_weights, group_counts, long_vectors
 
 SCALED = "scaled"
+COPIES = 10_000  # copies of a row that are written out at once
 
 
 def fit_scaler(df: DataFrame, vector: str = "features") -> DataFrame:
@@ -58,11 +59,15 @@ def balanced_resample(df: DataFrame, label: str = "label", p: float = 0.99, seed
     rates = sizes.withColumn("__target", target).select(label, (F.col("__target") / F.col("n")).alias("__rate"))
     joined = df.join(rates, label)  # one row per class on the right
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = (F.floor("__rate") + F.when(drawn < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
+    copies = (F.floor("__rate") + F.when(drawn < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("long")
+    # a row of a rare class may stand for more copies than one array should hold
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("__copies") - 1) / COPIES))
+    begin = F.col("__block") * COPIES
     return (
         joined.withColumn("__copies", copies)
         .where("__copies > 0")
-        .select(*[F.col(c) for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
+        .withColumn("__block", F.explode(blocks))
+        .select(*[F.col(c) for c in df.columns], F.explode(F.sequence(begin + 1, F.least(begin + COPIES, F.col("__copies")))).alias("copy"))
     )
 
 

@@ -321,6 +321,10 @@ def test_balanced_resample(spark):
     assert counts[0] == pytest.approx(size / 2, rel=0.05) and counts[1] == pytest.approx(size / 2, rel=0.05)
     again = model.balanced_resample(df.repartition(7)).groupBy("label").count().collect()
     assert {r.label: r["count"] for r in again} == counts
+    rare = spark.range(30_000).select("id", (F.col("id") == 7).cast("int").alias("label"))
+    drawn = model.balanced_resample(rare).where("label = 1").select(F.count("copy").alias("n"), F.max("copy").alias("top"), F.countDistinct("copy").alias("d")).first()
+    half = stats.balanced_sample_size(rare, "label").first().sample_size / 2
+    assert drawn.n == drawn.top == drawn.d and half > 2 * model.COPIES and abs(drawn.n - half) <= 1
 
 
 def test_classifier(spark, tmp_path):
