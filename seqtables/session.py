@@ -68,6 +68,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that a job wrote for itself."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input comes in fewer pieces than there are cores.
 
