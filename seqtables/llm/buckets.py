@@ -107,11 +107,13 @@ def _dealt(state: DataFrame) -> DataFrame:
 
 
 def _open(labelled: DataFrame, high: int) -> DataFrame:
-    """Members of buckets that hold several components and ranks still to come."""
-    spans = labelled.groupBy("bucket").agg(
-        F.min("component").alias("first"), F.max("component").alias("last"), F.max("rank").alias("most")
-    )
-    return labelled.join(spans.where((F.col("first") != F.col("last")) & (F.col("most") >= high)).select("bucket"), "bucket")
+    """Members whose rank is still to come, of buckets where these are of several components.
+
+    Every pair with a member of a lower rank has been compared or ruled out.
+    """
+    rest = labelled.where(F.col("rank") >= high)
+    spans = rest.groupBy("bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    return rest.join(spans.where("first <> last").select("bucket"), "bucket")
 
 
 def _with_common(state: DataFrame, elements: Step, percent: int) -> DataFrame:

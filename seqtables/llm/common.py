@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqtables.session import cut
+from seqtables.session import cut, remove_path, scratch_path
+
+#: Of every ``concluded`` that is running, the innermost last: paths of the tables written so far.
+_scopes: list[list[str]] = []
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are maximal runs without blank, tab, line feed, vertical tab, form feed and return.
@@ -64,4 +69,40 @@ def settled(df: DataFrame) -> DataFrame:
 
     A loop's conditions would otherwise grow with every round, and planning with them.
     """
-    return cut(df.select(F.inline(F.array(F.struct("*")))))
+    out = cut(df.select(F.inline(F.array(F.struct("*")))))
+    if _scopes:
+        written = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if written.isDefined():
+            _scopes[-1].append(written.get())
+    return out
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again; takes less room than a checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def concluded(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, settled. All tables settled or stored on the way are deleted.
+
+    Nothing refers to these any more then, as the result is written out whole.
+    """
+    _scopes.append([])
+    try:
+        plain = make()
+        inner = len(_scopes[-1])
+        found = settled(plain)
+        kept = _scopes[-1][inner:]
+    except BaseException:
+        _scopes.pop()
+        raise
+    for path in _scopes.pop()[:inner]:
+        remove_path(spark, path)
+    if _scopes:
+        _scopes[-1].extend(kept)
+    return found
