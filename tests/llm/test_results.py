@@ -314,6 +314,41 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 0), (2, 0)}
 
 
+def test_masks_meet_every_tolerated_substitution():
+    for n in range(9, decontaminate.WINDOW + 1):
+        spare = n * (100 - decontaminate.PERCENT) // 100
+        for bad in itertools.combinations(range(n), spare):
+            places = ((mask, at) for mask in decontaminate.MASKS for at in range(n - mask[-1]))
+            assert any(not any(at + k in bad for k in mask) for mask, at in places), (n, bad)
+
+
+def test_decontamination_against_alignment_without_seeds(spark):
+    rng = random.Random(5)
+    word = lambda: "w" + str(rng.randrange(4000))
+    items = [[word() for _ in range(n)] for n in (6, 8, 9, 10, 12, 13, 20, 40)]
+    docs = []
+    for trial in range(240):
+        item = items[trial % len(items)]
+        passage = list(item)
+        for at in rng.sample(range(len(item)), rng.randrange(0, 1 + len(item) // 3) if len(item) > 8 else 0):
+            passage[at] = word()
+        first = rng.randrange(0, 1 + max(0, len(item) - 13))
+        docs.append([word() for _ in range(rng.randrange(0, 9))] + passage[first:] + [word() for _ in range(rng.randrange(0, 9))])
+    want = {}
+    for i, d in enumerate(docs):
+        for j, g in enumerate(items):
+            width = min(len(g), decontaminate.WINDOW)
+            equal = [
+                sum(d[a + k] == g[b + k] for k in range(width)) for a in range(len(d) - width + 1) for b in range(len(g) - width + 1)
+            ]
+            if equal and 100 * max(equal) >= decontaminate.PERCENT * width:
+                want[i, j] = max(equal)
+    assert len(want) > 100
+    table = lambda rows, key: spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], f"{key} long, text string")
+    got = decontaminate.contaminations(table(docs, "doc_id"), table(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id): r.n_equal for r in got} == want
+
+
 def test_pipeline(spark):
     last = corpus_pipeline.run(spark, FOLDER)
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
