@@ -2,144 +2,110 @@
 
 No pair of overlapping intervals is ever built. Overlap counts come from running counts
 of starts and stops; valid matches share a start or a stop, so the best one is found by
-looking up and down within that shared end. Both work on distinct intervals, whatever
-number of rows shares them.
+looking up and down within that shared end. Genes and features of a contig are brought
+together once, and all windows run where they then are; what a task holds of a contig is
+sorted and spilled by Spark, never collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqtables.operators.ordered import running_sums
 from seqtables.session import stack
 
 RNA_FEATURES = ("tRNA", "ncRNA", "rRNA", "misc_RNA")  # fixed values
 MISC_FEATURES = ("misc_feature", "mobile_element", "repeat_region")  # fixed values
+PLACE = ("contig_id", "start", "stop")
+SPOT = (*PLACE, "strand")
 
 
-def overlap_counts(queries: DataFrame, refs: DataFrame, block_width: int = 1 << 16) -> DataFrame:
-    """Table (contig_id, start, stop, n_hits): features that share a position with the interval.
+def _upto(order: Column, *within: str, last: int = 0) -> Window:
+    """Rows of the same ``within`` from the first one in ``order`` to those ``last`` behind the current value."""
+    return Window.partitionBy("contig_id", *within).orderBy(order).rangeBetween(Window.unboundedPreceding, last)
 
-    Overlapping features = those that start at or before the stop, less those that stop
-    before the start.
-    """
-    def points_of(frame: DataFrame, first: tuple[Column, int, int], last: tuple[Column, int, int]) -> DataFrame:
-        ends = [
-            F.struct(place.alias("pos"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed"))
-            for place, opened, closed in (first, last)
-        ]
-        return frame.select("contig_id", F.inline(F.array(*ends)))
 
-    start, stop = F.col("start"), F.col("stop")
-    points = (
-        stack(
-            points_of(refs, (start, 1, 0), (stop + 1, 0, 1)),
-            points_of(queries, (start, 0, 0), (stop, 0, 0)),
-        )
-        .groupBy("contig_id", "pos")
-        .agg(F.sum("opened").alias("opened"), F.sum("closed").alias("closed"))
-    )
-    counted = running_sums(
-        points,
-        ["pos"],
-        {"n_opened": "opened", "n_closed": "closed"},
-        group=["contig_id"],
-        block=F.floor(F.col("pos") / block_width),
-    )
-    # Both ends of an interval look their count up in one join and meet again in a sum.
-    ends = [F.struct(place.alias("pos"), F.lit(last).alias("last")) for place, last in ((start, False), (stop, True))]
-    wanted = queries.select("contig_id", "start", "stop").distinct()
-    looked_up = wanted.select("*", F.inline(F.array(*ends))).join(counted, ["contig_id", "pos"])
-    share = F.when(F.col("last"), F.col("n_opened")).otherwise(-F.col("n_closed"))
-    return looked_up.groupBy("contig_id", "start", "stop").agg(F.sum(share).alias("n_hits"))
+def _with_overlaps(rows: DataFrame) -> DataFrame:
+    """Add n_hits: features that share a position with the interval.
 
+    These are the features that start at or before the stop, less those that stop before the start.
+    """
+    asked, is_ref = F.col("asked"), (~F.col("asked")).cast("long")
+    opens = F.when(asked, F.col("stop")).otherwise(F.col("start"))
+    closes = F.when(asked, F.col("start")).otherwise(F.col("stop") + 1)
+    opened = F.sum(is_ref).over(_upto(F.col("opens")))
+    closed = F.sum(is_ref).over(_upto(F.col("closes")))
+    counted = rows.withColumn("opens", opens).withColumn("n_hits", opened).drop("opens")
+    return counted.withColumn("closes", closes).withColumn("n_hits", F.col("n_hits") - closed).drop("closes")
 
-def best_valid_hits(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """Table (contig_id, strand, start, stop, n_valid_hits, hit) per distinct query interval.
 
-    A valid hit lies on the same strand and shares the start or the stop. ``hit`` is the
-    one with the widest overlap, ties to the smallest (locus_tag, feature, pseudo).
-    """
-    ends = ["contig_id", "strand", "start", "stop"]
-    named = F.struct("locus_tag", "feature", "pseudo")
-    merged = (
-        stack(
-            refs.select(*ends, named.alias("ref"), F.lit(1).alias("n_ref"), F.lit(False).alias("asked")),
-            queries.select(
-                *ends,
-                F.lit(None).cast(refs.select(named).schema[0].dataType).alias("ref"),
-                F.lit(0).alias("n_ref"),
-                F.lit(True).alias("asked"),
-            ),
-        )
-        .groupBy(*ends)
-        .agg(F.min("ref").alias("ref"), F.sum("n_ref").alias("n_ref"), F.max("asked").alias("asked"))
-    )
+def _with_valid(rows: DataFrame) -> DataFrame:
+    """Add n_valid_hits and hit: the features of the same strand that share the start or the stop, and the best of them.
 
-    def look(shared: str, other: str) -> tuple[Window, Window, Window]:
-        group = Window.partitionBy("contig_id", "strand", shared)
-        up, down = group.orderBy(F.col(other).asc()), group.orderBy(F.col(other).desc())
-        return group, up, down
-
-    at_start, stop_up, stop_down = look("start", "stop")
-    at_stop, start_up, start_down = look("stop", "start")
-    reach, earlier = Window.unboundedPreceding, -1
-    place = lambda other: F.when(F.col("ref").isNotNull(), F.struct(F.col(other).alias("at"), "ref"))
-    seen = merged.withColumns(
-        {
-            # Same start: features that stop at or after the query cover it whole.
-            "covers_a": F.min("ref").over(stop_down.rowsBetween(reach, 0)),
-            "shorter_a": F.last(place("stop"), ignorenulls=True).over(stop_up.rowsBetween(reach, earlier)),
-            "n_a": F.sum("n_ref").over(at_start),
-        }
-    ).withColumns(
-        {
-            # Same stop: features that start at or before the query cover it whole.
-            "covers_b": F.min("ref").over(start_up.rowsBetween(reach, 0)),
-            "shorter_b": F.last(place("start"), ignorenulls=True).over(start_down.rowsBetween(reach, earlier)),
-            "n_b": F.sum("n_ref").over(at_stop),
-        }
+    ``hit`` is the one with the widest overlap, ties to the smallest (locus_tag, feature, pseudo).
+    """
+    is_ref = (~F.col("asked")).cast("long")
+    ref = F.when(~F.col("asked"), F.struct("locus_tag", "feature", "pseudo"))
+    at = lambda place: F.when(~F.col("asked"), F.struct(place.alias("at"), ref.alias("ref")))
+    same_start, same_stop = ("strand", "start"), ("strand", "stop")
+    start, stop = F.col("start"), F.col("stop")
+    shorter_a = _upto(stop.asc(), *same_start, last=-1)
+    covers_a = _upto(stop.desc(), *same_start)  # features that stop at or after the query's stop
+    covers_b = _upto(start.asc(), *same_stop, last=-1)  # those of the same start are in covers_a
+    shorter_b = _upto(start.desc(), *same_stop, last=-1)
+    n = F.sum(is_ref)
+    seen = (
+        rows.withColumns({"shorter_a": F.min(at(-stop)).over(shorter_a), "n_1": n.over(shorter_a)})
+        .withColumns({"covers_a": F.min(ref).over(covers_a), "n_2": n.over(covers_a)})
+        .withColumns({"covers_b": F.min(ref).over(covers_b), "n_3": n.over(covers_b)})
+        .withColumns({"shorter_b": F.min(at(start)).over(shorter_b), "n_4": n.over(shorter_b)})
     )
 
     def option(overlap: Column, ref: Column) -> Column:
         # Negated overlap first: the smallest option is the widest, then the smallest name.
         return F.when(ref.isNotNull(), F.struct((-overlap).alias("less"), ref.alias("ref")))
 
-    width = F.col("stop") - F.col("start")
+    width = stop - start
     best = F.least(
         option(width, F.col("covers_a")),
         option(width, F.col("covers_b")),
-        option(F.col("shorter_a.at") - F.col("start"), F.col("shorter_a.ref")),
-        option(F.col("stop") - F.col("shorter_b.at"), F.col("shorter_b.ref")),
-    )
-    return seen.where("asked").select(
-        *ends,
-        (F.col("n_a") + F.col("n_b") - F.col("n_ref")).cast("long").alias("n_valid_hits"),
-        best["ref"].alias("hit"),
+        option(-F.col("shorter_a.at") - start, F.col("shorter_a.ref")),
+        option(stop - F.col("shorter_b.at"), F.col("shorter_b.ref")),
     )
+    counts = sum((F.coalesce(F.col(f"n_{i}"), F.lit(0)) for i in (1, 2, 3, 4)), F.lit(0))
+    stranded = F.col("strand").isNotNull()
+    found = {"n_valid_hits": F.when(stranded, counts).otherwise(0), "hit": F.when(stranded, best["ref"])}
+    return seen.where("asked").select(*rows.columns, *[column.alias(name) for name, column in found.items()])
 
 
-def interval_match(queries: DataFrame, refs: DataFrame) -> DataFrame:
+def interval_match(queries: DataFrame, refs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per query: id, n_hits, n_valid_hits and feature, locus_tag, pseudo of the best hit.
 
     ``queries`` needs (id, contig_id, start, stop, strand); ``refs`` (locus_tag, contig_id,
     start, stop, strand, feature, pseudo). Intervals are 1-based and inclusive, start <= stop.
+    A query without contig, start or stop has no hits, one without strand no valid ones.
+    ``keep`` names further columns of the queries that follow the id, which saves a join with them.
     """
-    counts = overlap_counts(queries, refs)
-    hits = best_valid_hits(queries, refs)
-    return (
-        queries.select("id", "contig_id", "strand", "start", "stop")
-        .join(hits, ["contig_id", "strand", "start", "stop"], "left")
-        .join(counts, ["contig_id", "start", "stop"], "left")
-        .select(
-            "id",
-            F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"),
-            F.coalesce("n_valid_hits", F.lit(0)).cast("long").alias("n_valid_hits"),
-            F.col("hit.feature").alias("feature"),
-            F.col("hit.locus_tag").alias("locus_tag"),
-            F.col("hit.pseudo").alias("pseudo"),
-        )
+    placed = " and ".join(f"{name} is not null" for name in PLACE)
+    carried = ["id", *SPOT, *[F.col(c).alias(f"__{c}") for c in keep if c not in SPOT]]
+    # the queries carry their columns and the features their names through the one shuffle
+    rows = stack(
+        refs.where(placed).select(*SPOT, F.lit(False).alias("asked"), "locus_tag", "feature", "pseudo"),
+        queries.where(placed).select(*carried, F.lit(True).alias("asked")),
+        allow_missing=True,
+    )
+    found = _with_valid(_with_overlaps(rows))
+    beside = queries.where(f"not ({placed})").select(*carried)
+    return stack(found, beside, allow_missing=True).select(
+        "id",
+        *[F.col(c if c in SPOT else f"__{c}").alias(c) for c in keep],
+        F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"),
+        F.coalesce("n_valid_hits", F.lit(0)).cast("long").alias("n_valid_hits"),
+        F.col("hit.feature").alias("feature"),
+        F.col("hit.locus_tag").alias("locus_tag"),
+        F.col("hit.pseudo").alias("pseudo"),
     )
 
 
@@ -157,8 +123,8 @@ def label_genes(matches: DataFrame) -> DataFrame:
     )
 
 
-def match_with_ref(queries: DataFrame, matches: DataFrame, refs: DataFrame) -> DataFrame:
-    """Genes with the matched feature's columns under a ``ref_`` prefix, one row per gene.
+def match_with_ref(matches: DataFrame, refs: DataFrame) -> DataFrame:
+    """Matches of genes (see ``interval_match``) with the matched feature's columns under a ``ref_`` prefix.
 
     Locus tags repeat across features, so the key is (locus_tag, feature); of several
     reference rows under one key the first by place is kept.
@@ -171,9 +137,11 @@ def match_with_ref(queries: DataFrame, matches: DataFrame, refs: DataFrame) -> D
         .select("locus_tag", "feature", *[F.col(f"row.{c}").alias(f"ref_{c}") for c in others])
         .withColumn("ref_locus_tag", F.col("locus_tag"))
         .withColumn("ref_feature", F.col("feature"))
+        .withColumnRenamed("locus_tag", "__tag")
     )
-    found = matches.where("locus_tag is not null").select("id", "locus_tag", "feature")
-    return queries.join(found, "id", "left").join(single, ["locus_tag", "feature"], "left")
+    # genes without a match would all go to one task; they have no feature, which no row equals
+    dealt = matches.withColumn("__tag", F.coalesce("locus_tag", F.concat(F.lit("\0"), F.col("id").cast("string"))))
+    return dealt.join(single, ["__tag", "feature"], "left").drop("__tag")
 
 
 def boundary_alignment(genes: DataFrame) -> DataFrame:

@@ -16,6 +16,5 @@ def annotate(genes: DataFrame, refs: DataFrame, contigs: DataFrame) -> DataFrame
     known = with_codons(gene_nucleotides(refs, contigs)).withColumn(
         "length", coding_length(F.col("start"), F.col("stop"), F.col("feature"))
     )
-    matches = interval_match(own, known)
-    labels = label_genes(matches).select("id", "label")
-    return boundary_alignment(match_with_ref(own, matches, known).join(labels, "id"))
+    labelled = label_genes(interval_match(own, known)).select("id", "locus_tag", "feature", "label")
+    return boundary_alignment(own.join(match_with_ref(labelled, known), "id"))

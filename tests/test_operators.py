@@ -3,6 +3,7 @@ import itertools
 import math
 import operator
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,41 @@ def test_interval_match_equals_brute_force(spark):
     assert found == {g[0]: brute_match(g, refs) for g in genes}
 
 
+def exchanges(df):
+    """Names of the columns that each shuffle of the plan deals its rows by."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_interval_match_shuffles_genes_and_features_once(spark):
+    genes = spark.createDataFrame([("g", "A", 1, 9, 1)], GENE)
+    refs = spark.createDataFrame([("r", "A", 1, 9, 1, "CDS", False)], REF)
+    assert len(exchanges(intervals.label_genes(intervals.interval_match(genes, refs)))) == 1
+
+
+def test_interval_match_with_missing_places(spark):
+    genes = [("a", None, 1, 9, 1), ("b", "A", None, 9, 1), ("c", "A", 1, None, 1), ("d", "A", 1, 9, None), ("e", "A", 1, 9, 1), ("e", "A", 1, 9, 1)]
+    refs = [("r", "A", 1, 9, 1, "CDS", False), ("s", "A", 1, 12, None, "CDS", False), ("t", None, 1, 9, 1, "CDS", False), ("u", "A", None, 9, 1, "CDS", False)]
+    found = intervals.interval_match(spark.createDataFrame(genes, GENE), spark.createDataFrame(refs, REF), ["strand"])
+    got = collections.Counter((r.id, r.strand, r.n_hits, r.n_valid_hits, r.locus_tag) for r in found.collect())
+    none = {("a", 1, 0, 0, None): 1, ("b", 1, 0, 0, None): 1, ("c", 1, 0, 0, None): 1}
+    assert got == none | {("d", None, 2, 0, None): 1, ("e", 1, 2, 1, "r"): 2}
+
+
+def test_genes_without_match_are_spread(spark):
+    genes = spark.range(2000).selectExpr("concat('g', id) as id", "'A' as contig_id", "id * 100 + 50 as start", "id * 100 + 59 as stop", "1 as strand")
+    refs = spark.createDataFrame([("r", "A", 1, 9, 1, "CDS", False), ("s", "A", 50, 70, 1, "CDS", False)], REF)
+    matches = intervals.interval_match(genes, refs, genes.columns[1:])
+    joined = intervals.match_with_ref(matches, refs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert any(keys.startswith("__tag") for keys in exchanges(joined))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = joined.collect()
+    assert len(rows) == 2000
+    assert [(r.id, r.start, r.ref_stop) for r in rows if r.locus_tag] == [("g0", 50, 70)]
+
+
 def test_touching_intervals_and_copies(spark):
     # One base in common is a hit; many copies of one interval count in full.
     genes = spark.createDataFrame([("a", "A", 10, 20, 1)] + [(f"c{i}", "A", 50, 60, 1) for i in range(40)], GENE)
