@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seqtables.llm import decontaminate, language, line_dedup, mixing, near_dedup
-from seqtables.session import remove_path, scratch_path
+from seqtables.session import release, remove_path, scratch_path
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language ID", language.stage),
@@ -24,7 +24,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each on what the one before has kept, written between them.
 
-    A stage's table is deleted once the next one's is written.
+    A stage's table is deleted once the next one's is written, and so are a stage's shuffle files.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     former = None
@@ -35,4 +35,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if former is not None:
             remove_path(spark, former)
         former = path
+        release(spark, 0.0)
     return docs

@@ -1,10 +1,16 @@
 """Every operator and stage on rough and on empty tables."""
 
+import time
+from pathlib import Path
+
 import pytest
 import cases
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from seqtables.llm.common import settled
 from seqtables.llm.queries import QUERIES
+from seqtables.session import release
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +54,18 @@ def test_stages_keep_columns(spark, folders, stage):
         assert out.columns == docs.columns
     assert 0 < out.count() <= len(cases.ROWS)
     assert stage(spark, spark.read.parquet(f"{nothing}/documents.parquet"), nothing).count() == 0
+
+
+def test_shuffle_files_of_settled_tables_are_released(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for folder in manager.localDirs() for f in Path(folder.toString()).rglob("shuffle_*.data")}
+    before = files()
+    counts = settled(spark.range(10_000).groupBy((F.col("id") % 7).alias("key")).count())
+    assert files() - before
+    for _ in range(20):  # Spark learns of a table's end by one collection and deletes its files some time after it
+        release(spark, 0.0)
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before
+    assert counts.count() == 7
