@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seqtables.functions.sequence import STOP_CODONS, reverse_complement
 
 WIDTH = 8190
+NEAR = 300
 NEXT_STOP = f"^(?:.{{3}})*?(?:{'|'.join(STOP_CODONS)})"
 
 
@@ -82,8 +83,10 @@ def next_stops(places: DataFrame, tiles: DataFrame, width: int = WIDTH) -> DataF
     at = F.floor((F.col("codon") - 1) / width).cast("int")
     begin = F.col("tile").cast("long") * width
     local = (F.col("codon") - begin).cast("int")
-    ahead = _stop_length(F.substring("text", local, F.lit(width + 2)))
-    behind = _stop_length(reverse_complement(F.substring("text", F.lit(1), local + 2)))
+    low = F.greatest(local + 3 - NEAR, F.lit(1))
+    # most stops are near; the rest of the tile is copied only where none is
+    ahead = F.coalesce(*[_stop_length(F.substring("text", local, F.lit(size))) for size in (NEAR, width + 2)])
+    behind = F.coalesce(*[_stop_length(reverse_complement(F.substring("text", start, local + 3 - start))) for start in (low, F.lit(1))])
     frame = F.pmod("codon", F.lit(3)).cast("int")
     found = F.when(F.col("backward"), F.coalesce(F.col("codon") + 3 - behind, F.get("before", frame))).otherwise(
         F.coalesce(F.col("codon") + ahead - 3, F.get("after", frame))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seqtables.operators import cluster, overlaps, similarity
+from seqtables.operators import cluster, overlaps, similarity, tiles
 
 
 def brute(rows, k, least):
@@ -64,3 +64,16 @@ def test_components_read_their_edges_once(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long").mapInArrow(seen, "src long, dst long")
     assert {r.component for r in cluster.connected_components(edges).collect()} == {0}
     assert count.value == 20
+
+
+def test_next_stops_near_and_far_in_a_tile(spark):
+    # on the forward strand the stop after place 1 is near or far, and its mirror image on the reverse strand
+    rows, want = [], {}
+    for i, codons in enumerate((1, tiles.NEAR // 3 - 1, tiles.NEAR // 3, tiles.NEAR // 3 + 1, 500)):
+        text = f"{'GCC' * codons}TAAGCCGCC"
+        rows += [(f"f{i}", text), (f"r{i}", text[::-1].translate(str.maketrans("ACGT", "TGCA")))]
+        want |= {f"f{i}": 3 * codons + 1, f"r{i}": len(text) - 3 * codons - 2}
+    cut = tiles.contig_tiles(spark.createDataFrame(rows, "contig_id string, nt string"))
+    places = [(name, 1 if name[0] == "f" else len(text) - 2, name[0] == "r") for name, text in rows]
+    got = tiles.next_stops(spark.createDataFrame(places, "contig_id string, codon long, backward boolean"), cut)
+    assert {r.contig_id: r.found for r in got.collect()} == want
