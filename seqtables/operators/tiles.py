@@ -24,20 +24,25 @@ def contig_tiles(contigs: DataFrame, width: int = WIDTH) -> DataFrame:
     return contigs.select("contig_id", F.posexplode(parts).alias("tile", "text"))
 
 
-def slices(intervals: DataFrame, tiles: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(contig_id, first, last, piece): forward nucleotides of distinct intervals inside their contigs.
+def tiled(contigs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(contig_id, __size, __tiles): a contig's length and its tiles, here without the two letters after them."""
+    parts = F.regexp_extract_all("nt", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return contigs.select("contig_id", F.length("nt").cast("long").alias("__size"), parts.alias("__tiles"))
 
-    An interval meets the tiles it touches, and nothing else of its contig.
+
+def tile_slice(tiles: Column, first: Column, last: Column, width: int = WIDTH) -> Column:
+    """Forward nucleotides of an interval inside its contig, read from the tiles it touches; empty if it ends before it starts.
+
+    Only expressions that Spark compiles: others would copy the whole contig for each interval.
     """
-    place = lambda c: F.floor((F.col(c) - 1) / width).cast("int")
-    touched = intervals.where("first <= last").withColumn("tile", F.explode(F.sequence(place("first"), place("last"))))
-    begin = F.col("tile").cast("long") * width
-    low = F.greatest(F.col("first") - begin, F.lit(1))
-    high = F.least(F.col("last") - begin, F.lit(width))
-    part = F.substring("text", low.cast("int"), (high - low + 1).cast("int"))
-    parts = touched.join(tiles, ["contig_id", "tile"]).select("contig_id", "first", "last", F.struct("tile", part.alias("part")).alias("p"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
-    return parts.groupBy("contig_id", "first", "last").agg(whole.alias("piece"))
+    place = lambda c: F.floor((c - 1) / width).cast("int")
+    begin, end = place(first), place(last)
+    low = (first - begin.cast("long") * width).cast("int")
+    within = F.substring(F.get(tiles, begin), low, (last - first + 1).cast("int"))
+    between = F.array_join(F.slice(tiles, begin + 2, F.greatest(end - begin - 1, F.lit(0))), "")
+    tail = F.substring(F.get(tiles, end), F.lit(1), (last - end.cast("long") * width).cast("int"))
+    across = F.concat(F.substring(F.get(tiles, begin), low, F.lit(width)), between, tail)
+    return F.when(first > last, "").when(begin == end, within).otherwise(across)
 
 
 def _stop_length(text: Column) -> Column:

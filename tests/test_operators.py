@@ -140,6 +140,20 @@ def test_genes_off_their_contig(spark):
     assert orf.gene_nucleotides(made, none).count() == 0 and orf.extend_orfs(made.limit(0), contigs).count() == 0
 
 
+def test_genes_meet_their_contig_in_one_shuffle(spark):
+    contigs = spark.createDataFrame([("c", "ACGTTAACGG" * 5)], "contig_id string, nt string")
+    genes = spark.createDataFrame([(f"g{i}", "c", a, a + n, 1 if i % 2 else -1) for i, (a, n) in enumerate((a, n) for a in range(1, 51, 3) for n in (0, 2, 7, 40))], GENE)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = orf.gene_nucleotides(genes, contigs, width=9)
+        assert len(exchanges(found)) == 2  # the genes' and the contigs'
+        for r in found.collect():
+            forward = ("ACGTTAACGG" * 5)[r.start - 1 : r.stop]
+            assert r.nt == (forward if r.strand > 0 else forward[::-1].translate(str.maketrans("ACGT", "TGCA")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_running_sums_and_rows(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("aaab"), rng.randrange(100), rng.randrange(5)) for i in range(500)]
