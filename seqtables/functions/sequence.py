@@ -1,10 +1,14 @@
-"""Sequence expressions. All of them stay inside the JVM."""
+"""Sequence expressions. All but the translation of codons stay inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -188,44 +192,64 @@ def ambiguous_code(table: int) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the letters by byte (the last for all others), numbers of the tables, residues by table and codon."""
+    size = len(AMBIGUOUS_BASES) + 1
+    letters = np.full(256, size - 1, np.int16)
+    letters[[ord(base) for base in AMBIGUOUS_BASES]] = np.arange(size - 1)
+    tables = sorted(CODE_CHANGES)
+    residues = np.full((len(tables), size, size, size), ord("X"), np.uint8)
+    for row, table in zip(residues, tables):
+        row[:-1, :-1, :-1] = np.frombuffer(ambiguous_code(table).encode(), np.uint8).reshape((size - 1,) * 3)
+    return letters, np.array(tables), residues.reshape(len(tables), -1)
+
+
+def translated(nt: pa.Array, table: pa.Array, codons: int = 1 << 20) -> pa.Array:
+    """Residues of the codons but the last, about ``codons`` at a time; null where either is null."""
+    letters, tables, residues = _code_tables()
+    base = round(residues.shape[1] ** (1 / 3))
+    text = nt.cast(pa.large_string())
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+    if (data[ends[0] : ends[-1]] > 127).any():  # a letter beyond ASCII is one unknown letter
+        return translated(pa.array([t if t is None else t.encode("ascii", "replace").decode() for t in text.to_pylist()], pa.large_string()), table, codons)
+    sizes = np.maximum(np.diff(ends) // 3 - 1, 0)
+    rows = np.searchsorted(tables, table.fill_null(int(tables[0])).to_numpy(zero_copy_only=False))
+    part = np.cumsum(sizes) // codons
+    made = []
+    for a, b in zip(*(lambda cuts: (cuts[:-1], cuts[1:]))([0, *(np.flatnonzero(np.diff(part)) + 1), len(text)])):
+        own = sizes[a:b]
+        stops = np.concatenate([[0], np.cumsum(own)])
+        at = np.repeat(ends[a:b] - 3 * stops[:-1], own) + 3 * np.arange(stops[-1])
+        codon = (letters[data[at]] * base + letters[data[at + 1]]) * base + letters[data[at + 2]]
+        found = residues[np.repeat(rows[a:b], own), codon]
+        made.append(pa.LargeStringArray.from_buffers(int(b - a), pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(found)))
+    valid = pa.compute.and_(nt.is_valid(), table.is_valid())
+    return pa.compute.if_else(valid, pa.concat_arrays(made), pa.scalar(None, pa.large_string())).cast(pa.string())
+
+
 def translate_codons(nt: Column, table: Column | int = 11, readthrough: str = "U") -> Column:
     """Residues of an in-frame sequence without the last symbol.
 
     Stops before the end become ``readthrough``. A codon with ambiguous letters becomes the residue
     that all its readings give (B, Z or J for the pairs these stand for), else X. ``table`` may
-    differ per row; a missing one gives null, an unknown number is an error.
+    differ per row; a missing one gives null, an unknown number is an error. Batches of sequences are
+    looked up at once on Arrow data.
     """
     if isinstance(table, int):
-        code, wide = F.lit(genetic_code(table)), F.lit(ambiguous_code(table))
+        genetic_code(table)
+        number = F.lit(table)
     else:
-        number = table.cast("int")
-        told = F.raise_error(F.concat(F.lit("unknown translation table "), number.cast("string"))).cast("string")
-        lookup = lambda make: F.try_element_at(F.create_map(*[F.lit(x) for n in CODE_CHANGES for x in (n, make(n))]), number)
-        code = F.coalesce(lookup(genetic_code), F.when(number.isNotNull(), told))
-        wide = lookup(ambiguous_code)
-    letters = "".join(AMBIGUOUS_BASES)
-    codons = F.regexp_extract_all(nt, F.lit("(?s).{3}"), F.lit(0))
-    # all plain codons in the order of the code, four letters apart
-    listed = F.lit(" ".join("".join(codon) for codon in product(CODON_BASES, repeat=3)))
-
-    def residue(gene: Column, codon: Column) -> Column:
-        any_of = [F.instr(F.lit(letters), F.substring(codon, k, 1)) for k in (1, 2, 3)]
-        known = (any_of[0] > 0) & (any_of[1] > 0) & (any_of[2] > 0)
-        n = len(letters)
-        return (
-            F.when(codon.rlike("^[TCAG]{3}$"), F.substring(gene["code"], ((F.instr(listed, codon) + 3) / 4).cast("int"), 1))
-            .when(known, F.substring(gene["wide"], (any_of[0] - 1) * n * n + (any_of[1] - 1) * n + any_of[2], 1))
-            .otherwise("X")
-        )
-
-    body = let(
-        F.struct(code.alias("code"), wide.alias("wide"), codons.alias("codons")),
-        lambda gene: F.transform(
-            F.slice(gene["codons"], 1, F.greatest(F.size(gene["codons"]) - 1, F.lit(0))),
-            lambda codon: residue(gene, codon),
-        ),
-    )
-    return F.when(code.isNotNull(), F.replace(F.array_join(body, ""), F.lit("*"), F.lit(readthrough)))
+        given = table.cast("int")
+        told = F.raise_error(F.concat(F.lit("unknown translation table "), given.cast("string"))).cast("int")
+        number = F.when(given.isNull() | given.isin(*CODE_CHANGES), given).otherwise(told)
+
+    @F.arrow_udf("string")
+    def residues(texts: pa.Array, tables: pa.Array) -> pa.Array:
+        return translated(texts, tables)
+
+    return F.replace(residues(nt, number), F.lit("*"), F.lit(readthrough))
 
 
 def normalize_residues(seq: Column, drop: str = "*B", spaced: bool = False) -> Column:

@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -60,6 +63,23 @@ def test_translation(one):
         one(sequence.translate_codons(L("ATGTAA"), L(99)))
 
 
+def test_translation_of_batches():
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ACGTUNRYac-é" if i % 4 == 0 else "ACGT", k=rng.randrange(40))) for i in range(200)] + [None]
+    tables = [rng.choice((1, 4, 11, 25, 33, None)) for _ in texts]
+    wide, letters = {t: sequence.ambiguous_code(t) for t in (1, 4, 11, 25, 33)}, "".join(sequence.AMBIGUOUS_BASES)
+
+    def plain(text, table):
+        at = [[letters.find(c) for c in text[i : i + 3]] for i in range(0, len(text) - 2, 3)][:-1]
+        return "".join(wide[table][256 * a + 16 * b + c] if min(a, b, c) >= 0 else "X" for a, b, c in at)
+
+    want = [None if x is None or t is None else plain(x, t) for x, t in zip(texts, tables)]
+    for size in (1, 5, 1 << 20):
+        got = sequence.translated(pa.array(["ATG", *texts]).slice(1), pa.array([1, *tables], pa.int32()).slice(1), size)
+        assert got.to_pylist() == want
+    assert sequence.translated(pa.array([], pa.string()), pa.array([], pa.int32())).to_pylist() == []
+
+
 def test_codons_and_length(one):
     assert one(sequence.start_codon(L("ATGAAATAA"))) == "ATG"
     assert one(sequence.start_codon(L("CTGAAATAA"))) == "none"
