@@ -62,46 +62,75 @@ def append_length(df: DataFrame) -> DataFrame:
     return df.withColumn("features", longer)
 
 
+def _crc_table() -> np.ndarray:
+    """What CRC-32 adds for each byte."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def kmer_hashes(text: str, k: int) -> np.ndarray:
+    """CRC-32 of the bytes of every k-mer in order; texts of ASCII letters take one step a byte for all k-mers at once."""
+    size = max(len(text) - k + 1, 0)
+    if not text.isascii():
+        return np.fromiter((zlib.crc32(text[i : i + k].encode()) for i in range(size)), dtype=np.int64)
+    letters = np.frombuffer(text.encode("ascii"), np.uint8)
+    state = np.full(size, 0xFFFFFFFF, np.uint32)
+    for offset in range(k):
+        state = _CRC[(state & np.uint32(0xFF)) ^ letters[offset : offset + size]] ^ (state >> np.uint32(8))
+    return (state ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
+
+
 def hash_encoder(dims: int = 32, k: int = 3) -> Encoder:
     """A deterministic stand-in encoder: k-mers hashed to signed dimensions, averaged."""
 
     def encode(seqs: list[str]) -> np.ndarray:
         out = np.zeros((len(seqs), dims), dtype=np.float32)
         for row, seq in enumerate(seqs):
-            codes = np.fromiter(
-                (zlib.crc32(seq[i : i + k].encode()) for i in range(len(seq) - k + 1)), dtype=np.int64
-            )
+            codes = kmer_hashes(seq, k)
             if len(codes):
-                np.add.at(out[row], codes % dims, np.where((codes >> 16) & 1, 1.0, -1.0))
+                out[row] = np.bincount(codes % dims, np.where((codes >> 16) & 1, 1.0, -1.0), dims)
                 out[row] /= len(codes)
         return out
 
     return encode
 
 
-def encode(df: DataFrame, encoder: Encoder, budget: int = 1000) -> DataFrame:
+def encode(df: DataFrame, encoder: Encoder, budget: int = 1000, rows: int = 1000) -> DataFrame:
     """Table (id, features, error): an encoder run over batches of about ``budget`` residues.
 
     Longest sequences go first, as in any padded batch. A failing batch gives rows with an
-    error and no features instead of being lost.
+    error and no features instead of being lost. Results go out ``rows`` at a time or a little more.
     """
     id_type = df.schema["id"].dataType.simpleString()
     clean = df.where("seq is not null").select("id", F.replace("seq", F.lit("*"), F.lit("")).alias("seq"))
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
+    def run(seqs: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
         try:
-            vectors, error = list(encoder(batch["seq"].tolist())), None
+            vectors = list(encoder(seqs))
         except RuntimeError as failure:
-            vectors, error = [None] * len(batch), str(failure) or "failed"
-        return pd.DataFrame({"id": batch["id"].to_numpy(), "features": vectors, "error": error})
+            return [(None, str(failure) or "failed")] * len(seqs)
+        if len(vectors) != len(seqs):
+            raise ValueError(f"the encoder gave {len(vectors)} vectors for {len(seqs)} sequences")
+        return [(vector, None) for vector in vectors]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            frame = frame.iloc[np.argsort(-frame["seq"].str.len().to_numpy(), kind="stable")]
             sizes = frame["seq"].str.len().to_numpy()
-            number = (np.cumsum(sizes) - sizes) // budget
-            for _, batch in frame.groupby(number, sort=False):
-                yield run(batch)
+            order = np.argsort(-sizes, kind="stable")
+            ids, seqs, sizes = frame["id"].to_numpy()[order], frame["seq"].to_numpy()[order].tolist(), sizes[order]
+            ends = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // budget, append=-1)) + 1
+            done, first, found = 0, 0, []
+            for end in ends.tolist():
+                found += run(seqs[first:end])
+                first = end
+                if end - done >= rows or end == len(seqs):
+                    yield pd.DataFrame({"id": ids[done:end], "features": [v for v, _ in found], "error": [e for _, e in found]})
+                    done, found = end, []
 
     return clean.mapInPandas(batches, f"id {id_type}, features array<float>, error string")
 
