@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ ASSIGN = re.compile(
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+#: Every match of ASSIGN has one of these in lower case; looking for them first is far cheaper.
+NAMES = ("passw", "secret", "token", "api")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 LONG_HEX = re.compile("[0-9a-f]{16,}")
@@ -43,7 +46,9 @@ CACHE = 200_000  # distinct tokens whose scores a task keeps
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of the pattern matches that are long enough, in order."""
-    found = [(m.start(), 0, m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
+    lower = text.lower()
+    named = ASSIGN.finditer(text) if any(word in lower for word in NAMES) else ()
+    found = [(m.start(), 0, m.end(), m.start(2)) for m in named if m.end(2) - m.start(2) >= LEAST["assign"]]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     found += [(m.start(), 2, m.end(), m.start()) for m in LONG_HEX.finditer(text)]  # maximal runs, as HEX finds them
@@ -181,9 +186,12 @@ def _tagged(text: str) -> tuple[list[str], list[int], list[int]]:
 
 def training_windows(docs: DataFrame, text: str, key: str, facts: tuple[str, ...], sample: int = SAMPLE):
     """At most WINDOWS windows from each of at most 2 * ``sample`` documents."""
-    pattern = F.col(text).rlike(ASSIGN.pattern) | F.col(text).rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
-    named = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"fact{i}") for i, f in enumerate(facts)]
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(key).alias("turn"), pattern.alias("match"), *named)
+    value, lower = F.col(text), F.lower(text)
+    named = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(word)) for word in NAMES])
+    access = F.contains(value, F.lit("AKIA")) & value.rlike("AKIA[A-Z0-9]{14}")
+    pattern = (named & value.rlike(ASSIGN.pattern)) | access | value.rlike("[0-9a-f]{16}")
+    told = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"fact{i}") for i, f in enumerate(facts)]
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), F.xxhash64(key).alias("turn"), pattern.alias("match"), *told)
     chosen = rows.where("match").orderBy("turn").limit(sample).union(rows.where("not match").orderBy("turn").limit(sample))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
