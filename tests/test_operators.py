@@ -253,6 +253,23 @@ def test_kmer_search_equals_brute_force(spark):
         assert {(r.query_id, r.subject_id, r.shared_kmers) for r in got.collect()} == want
 
 
+def test_few_queries_are_counted_without_a_shuffle_of_words(spark):
+    rng = random.Random(8)
+    rows = [*_family(rng), ("x", "AéBCDEFGH" * 3), ("y", "AB"), ("z", "")]
+    queries = [(f"q{i}", seq[10:60]) for i, (_, seq) in enumerate(rows[:-3:7])] + [("e", "AéBCDEFGHAé"), ("s", "AB"), ("n", None)]
+    schema = "id string, seq string"
+    asked, there = spark.createDataFrame(queries, schema), spark.createDataFrame([*rows, ("m", None)], schema)
+    columns = ["query_id", "subject_id", "rank", "shared_kmers", "jaccard", "query_coverage_per_subject", "query_sequence_length", "subject_sequence_length"]
+    for k in (4, 9):
+        sent, joined = (similarity.kmer_search(asked, there, k, 5, 0.5, sent=n) for n in (10_000, 0))
+        assert not any("word" in keys for keys in exchanges(sent))
+        found = sorted(map(tuple, sent.select(columns).collect()))
+        assert found and found == sorted(map(tuple, joined.select(columns).collect()))
+        for share in (0.25, 1.0) if k == 4 else ():
+            joined = similarity.kmer_search(asked, there, k, 5, 0.5, share, sent=0)
+            assert found == sorted(map(tuple, joined.select(columns).collect()))
+
+
 def test_clusters_cover_their_members(spark):
     rows = _family(random.Random(6))
     df = spark.createDataFrame(rows, "id string, seq string")
