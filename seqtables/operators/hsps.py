@@ -14,7 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqtables.functions.sequence import kmers
@@ -29,6 +29,9 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 GROUPS = ("AST", "C", "DENQ", "FWY", "G", "HKR", "ILMV", "P")
 
 
+SENT = 1_000_000  # letters of queries whose words, fewer than these, are sent to all tasks
+
+
 @dataclass(frozen=True)
 class Scoring:
     """Substitution scores of letters, and the statistics of chance hits.
@@ -78,13 +81,64 @@ def read_scores(lines: Sequence[str]) -> dict[tuple[str, str], int]:
     return {(row[0], column): int(score) for row in rows[1:] for column, score in zip(rows[0], row[1:])}
 
 
+def _merged(groups: Sequence[str]) -> Column:
+    """The sequence with the first letter of a group for all of them."""
+    members = [(c, members[0]) for members in groups for c in members]
+    return F.translate("seq", "".join(a for a, _ in members), "".join(b for _, b in members)) if groups else F.col("seq")
+
+
 def _placed_words(df: DataFrame, k: int, groups: Sequence[str]) -> DataFrame:
     """(word, id, at) for every k letters in a row; letters of a group count as the same."""
-    seq = F.col("seq")
-    if groups:
-        members = [(c, members[0]) for members in groups for c in members]
-        seq = F.translate(seq, "".join(a for a, _ in members), "".join(b for _, b in members))
-    return df.select("id", F.posexplode(kmers(seq, k)).alias("at", "word")).select("word", "id", F.col("at").cast("long").alias("at"))
+    return df.select("id", F.posexplode(kmers(_merged(groups), k)).alias("at", "word")).select("word", "id", F.col("at").cast("long").alias("at"))
+
+
+def _packed(text: str, size: int) -> np.ndarray:
+    """Every run of ``size`` (at most eight) letters of an ASCII text as a number, in order."""
+    letters = np.frombuffer(text.encode("ascii"), np.uint8)
+    codes = np.zeros(max(len(letters) - size + 1, 0), np.uint64)
+    for offset in range(size):
+        codes = (codes << np.uint64(8)) | letters[offset : len(codes) + offset]
+    return codes
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(codes), bool)
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
+def _likely_words(df: DataFrame, k: int, groups: Sequence[str], words: list[str] | None) -> DataFrame:
+    """(word, id, at) as ``_placed_words`` has them; with ``words`` hardly more than those of these.
+
+    A place stays if the first and the last letters of its word, eight at most, are those of some wanted words.
+    """
+    size = min(k, 8)
+    plain = [word for word in words or () if word.isascii()]
+    heads, tails = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(_packed(word[at : at + size], size) for word in plain)])) for at in (0, k - size))
+    held = df.sparkSession.sparkContext.broadcast((heads, tails, None if words is None else set(words)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, tails, wanted = held.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found, rows, places = [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    at = range(len(text) - k + 1)
+                    if wanted is not None and text.isascii():
+                        codes = _packed(text, size)
+                        first = np.flatnonzero(_among(codes[: len(at)], heads))
+                        at = first[_among(codes[first + k - size], tails)].tolist()
+                    elif wanted is not None:
+                        at = [i for i in at if text[i : i + k] in wanted]
+                    found += [text[i : i + k] for i in at]
+                    rows += [row] * len(at)
+                    places += at
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), part.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())], names=["word", "id", "at"])
+
+    schema = f"word string, id {df.schema['id'].dataType.simpleString()}, at long"
+    return df.where("seq is not null").select("id", _merged(groups).alias("seq")).mapInArrow(read, schema)
 
 
 def _best_segment(scores: np.ndarray) -> tuple[int, int, int]:
@@ -131,15 +185,18 @@ def segments(pairs: DataFrame, scoring: Scoring) -> DataFrame:
     return pairs.select("query_id", "subject_id", "query_seq", "subject_seq", "diagonals").mapInArrow(score, schema)
 
 
-def diagonals(queries: DataFrame, subjects: DataFrame, k: int, least_words: int, groups: Sequence[str] = ()) -> DataFrame:
+def diagonals(queries: DataFrame, subjects: DataFrame, k: int, least_words: int, groups: Sequence[str] = (), sent: int = SENT) -> DataFrame:
     """(query_id, subject_id, diagonals) of pairs with a diagonal that has ``least_words`` common words.
 
-    Words that no query holds are left out before the join. The diagonals of a pair are at most as
-    many as its letters.
+    Words that no query holds are left out before the join, and where subjects are read when the queries have at most
+    ``sent`` letters. The diagonals of a pair are at most as many as its letters.
     """
-    asked = _placed_words(queries, k, groups)
-    wanted = asked.select("word").distinct()
-    held = _placed_words(subjects, k, groups).join(wanted, "word", "left_semi")
+    if (queries.agg(F.sum(F.length("seq")).alias("n")).first().n or 0) <= sent:
+        asked = _likely_words(queries, k, groups, None)
+        held = _likely_words(subjects, k, groups, [r.word for r in asked.select("word").distinct().collect()])
+    else:
+        asked = _placed_words(queries, k, groups)
+        held = _placed_words(subjects, k, groups).join(asked.select("word").distinct(), "word", "left_semi")
     x, y = asked.alias("x"), held.alias("y")
     met = x.join(y, F.col("x.word") == F.col("y.word")).groupBy(
         F.col("x.id").alias("query_id"), F.col("y.id").alias("subject_id"), (F.col("y.at") - F.col("x.at")).alias("diagonal")

@@ -80,3 +80,15 @@ def test_homologs_at_a_third_identity_stay_together(spark):
     together = sum(found[f"f{family}{c}"] == f"f{family}a" for family in range(10) for c in "bcde")
     assert together >= 36
     assert all(found[i] == i or found[i][:2] == i[:2] for i in found if i.startswith("f"))
+
+
+def test_words_of_few_queries_are_looked_for_where_subjects_are_read(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ACDé" if i % 9 == 0 else "ACD", k=rng.randrange(70))) for i in range(60)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    asked = df.where("id % 5 = 0")
+    for k, groups in ((3, ()), (9, ("AC",)), (20, ("AC", "D"))):
+        rows = lambda sent: sorted((r.query_id, r.subject_id, sorted(r.diagonals)) for r in hsps.diagonals(asked, df, k, 2, groups, sent).collect())  # noqa: B023, E731
+        assert rows(10_000) == rows(0) != []
+    plan = hsps.diagonals(asked, df, 9, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate posexplode" not in plan
