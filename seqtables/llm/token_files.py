@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqtables.llm.common import documents, settled
-from seqtables.session import scratch_path
+from seqtables.session import file_system, scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END = 50256  # free in that vocabulary
@@ -26,13 +26,6 @@ BLOCK = 4 << 20  # tokens of a block
 TOKEN = np.dtype("<u2")
 
 
-def file_system(path: str):
-    """The file system of a path or URI and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def encoder(vocabulary: str):
     import public_tokenizers
     import tiktoken

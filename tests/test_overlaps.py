@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,47 @@ def test_blocks_miss_no_pair_and_give_each_once(spark, monkeypatch, least):
     assert {(a, b): n for a, b, n in got} == want and len(got) == len(want)
 
 
+def test_blocks_meet_in_few_tasks_and_far_sizes_lose_no_pair(spark, monkeypatch):
+    # before, each two blocks were a task, so that the tasks grew with the square of the input
+    for name, value in (("LEAST_WORDS", 500), ("ROWS", 5), ("INDEXED", 2000), ("MEETINGS", 300), ("PAIRS", 3)):
+        monkeypatch.setattr(overlaps, name, value)
+    rng = random.Random(8)
+    base = ["".join(rng.choices("ABCDEFGH", k=300)) for _ in range(2)]
+    rows = []
+    for i in range(60):
+        size = rng.choice((50, 75, 110, 160, 230, 300))
+        at = rng.randrange(301 - size)
+        rows.append((i, f"{i:02}{base[i % 2][at : at + size]}"))
+    single = spark.createDataFrame(rows, "id long, seq string")
+    _, blocks = overlaps.packed_blocks(single, similarity._code_batches(4), 0.2, 0.1)
+    found = overlaps.counted_pairs(single, similarity._code_batches(4), lambda text: similarity.word_codes(text, 4), 0.2, 0.1)
+    assert blocks > 12 and found.rdd.getNumPartitions() < 2 * blocks
+    got = {tuple(sorted((r.id, r.other))): r.shared for r in found.where("shared / (own + theirs - shared) >= 0.2").collect()}
+    want = brute(rows, 4, 0.2)
+    assert got == want and any(len(rows[a][1]) > 2.3 * len(rows[b][1]) for a, b in want)
+
+
+@pytest.mark.parametrize("least", [0.2, 0.63])
+def test_each_two_blocks_that_fit_meet_once(monkeypatch, least):
+    monkeypatch.setattr(overlaps, "INDEXED", 30)
+    packs = [overlaps.Pack(i, 10 * i, 10 * i + 12, 10, str(i)) for i in range(1, 60)]
+    met = [(y, x) for indexed, asked, _ in overlaps.read_lists(packs, least) for y in indexed for x in asked]
+    fit = {(y, x) for y in range(59) for x in range(59) if packs[x].high >= packs[y].low and packs[y].high >= packs[x].low * least}
+    assert len(met) == len(set(met)) and fit <= set(met)
+    for indexed, asked, far in overlaps.read_lists(packs, least):
+        assert len(asked) <= overlaps.BLOCKS_READ
+        assert not far or min(packs[x].low for x in asked) >= overlaps.far_off(least) * max(packs[y].high for y in indexed)
+
+
+def test_holders_are_counted_in_pieces(spark, monkeypatch):
+    # before, every word of every sequence was a row of its own
+    monkeypatch.setattr(similarity, "WORDS_AT_ONCE", 20)
+    rows = [(i, text) for i, text in enumerate(["ABCABCD", "BCDEFGH", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AB", "XYZABCé"] * 3)]
+    got = similarity.kmer_holders(spark.createDataFrame(rows, "id long, seq string"), 3)
+    want = Counter(similarity._word_code(word) for _, text in rows for word in {text[i : i + 3] for i in range(len(text) - 2)})
+    assert {r.word % 2**64: r.df for r in got.collect()} == want
+
+
 def test_words_are_the_same_from_texts_with_and_without_other_letters(spark):
     text = "".join(random.Random(3).choices("ABCDEFGH", k=200))
     rows = [(1, text), (2, f"é{text}"), (3, f"{text}é")]
