@@ -95,6 +95,15 @@ def test_steps_hold_words_far_apart():
     assert sizes.tolist() == [[len(held), len(rest)] for held, rest in lists]
 
 
+def test_common_codes_of_many_lists():
+    rng = np.random.default_rng(4)
+    for size, spread in ((1, 3), (40, 60), (3000, 5000), (3000, 2**63)):
+        lists = [np.unique(rng.integers(0, spread, rng.integers(1, size + 1), dtype=np.uint64)) for _ in range(9)]
+        lists += [lists[0], lists[0][:1], np.unique(np.concatenate([lists[0], lists[1]]))]
+        want = [len(set(lists[0].tolist()) & set(other.tolist())) for other in lists]
+        assert overlaps.commons(lists[0], lists) == want == [overlaps.common(lists[0], other) for other in lists]
+
+
 def test_components_read_their_edges_once(spark):
     count = spark.sparkContext.accumulator(0)
 
