@@ -224,7 +224,7 @@ joined_ as materialized (select g.*, m.locus_tag, m.feature, s.contig_id as ref_
 
 def _matched(t):
     genes, refs = t.genes, t.ref_genes
-    return intervals.match_with_ref(intervals.interval_match(genes, refs, genes.columns[1:]), refs)
+    return intervals.match_with_ref(intervals.interval_match(genes, refs, genes.columns[1:], places=True), refs)
 
 
 @query(

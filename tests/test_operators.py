@@ -72,6 +72,23 @@ def test_genes_without_match_are_spread(spark):
     assert [(r.id, r.start, r.ref_stop) for r in rows if r.locus_tag] == [("g0", 50, 70)]
 
 
+def test_matches_with_places_join_only_repeated_keys(spark):
+    # before, all features were shuffled by their names, and all matches
+    rng = random.Random(9)
+    place = lambda: (lambda a: (rng.choice("AB"), a, a + rng.choice((6, 9, 12)), rng.choice((1, 1, -1, None))))(rng.randrange(1, 40))
+    genes = [(f"g{i}", *place()) for i in range(300)] + [("h", None, 1, 7, 1), ("i", "A", None, 7, 1)]
+    refs = [(rng.choice((f"r{i}", f"r{i}", "same", None)), *place(), rng.choice(("CDS", "tRNA", None)), rng.choice((True, False, None))) for i in range(200)]
+    refs += [("same", None, 3, 9, 1, "CDS", True), ("r1", "A", None, 9, 1, "CDS", True)]
+    own, known = spark.createDataFrame(genes, GENE), spark.createDataFrame(refs, REF)
+    for keep in (own.columns[1:], ["contig_id", "strand"]):
+        plain = intervals.match_with_ref(intervals.interval_match(own, known, keep), known)
+        placed = intervals.match_with_ref(intervals.interval_match(own, known, keep, places=True), known)
+        assert sorted(plain.columns) == sorted(placed.columns)
+        assert [keys.split("#")[0] for keys in exchanges(placed)] == ["contig_id"]
+        got, want = (collections.Counter(map(tuple, df.select(*plain.columns).collect())) for df in (placed, plain))
+        assert got == want and any(r.ref_start for r in placed.collect())
+
+
 def test_touching_intervals_and_copies(spark):
     # One base in common is a hit; many copies of one interval count in full.
     genes = spark.createDataFrame([("a", "A", 10, 20, 1)] + [(f"c{i}", "A", 50, 60, 1) for i in range(40)], GENE)
