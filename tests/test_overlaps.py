@@ -73,9 +73,13 @@ def test_holders_are_counted_in_pieces(spark, monkeypatch):
     # before, every word of every sequence was a row of its own
     monkeypatch.setattr(similarity, "WORDS_AT_ONCE", 20)
     rows = [(i, text) for i, text in enumerate(["ABCABCD", "BCDEFGH", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "AB", "XYZABCé"] * 3)]
-    got = similarity.kmer_holders(spark.createDataFrame(rows, "id long, seq string"), 3)
+    single = spark.createDataFrame(rows, "id long, seq string")
+    got = similarity.kmer_holders(single, 3)
     want = Counter(similarity._word_code(word) for _, text in rows for word in {text[i : i + 3] for i in range(len(text) - 2)})
     assert {r.word % 2**64: r.df for r in got.collect()} == want
+    rate = sum(n * n for n in want.values()) / sum(want.values()) ** 2
+    assert similarity.word_chance(single, 3) == pytest.approx(rate, rel=1e-12) == similarity.chance_rate(got)
+    assert similarity.word_chance(single.where("id < 0"), 3) == 0.0
 
 
 def test_words_are_the_same_from_texts_with_and_without_other_letters(spark):
