@@ -80,6 +80,8 @@ def test_holders_are_counted_in_pieces(spark, monkeypatch):
     rate = sum(n * n for n in want.values()) / sum(want.values()) ** 2
     assert similarity.word_chance(single, 3) == pytest.approx(rate, rel=1e-12) == similarity.chance_rate(got)
     assert similarity.word_chance(single.where("id < 0"), 3) == 0.0
+    monkeypatch.setattr(similarity, "ONE_ROUND", 0)
+    assert similarity.word_chance(single, 3) == pytest.approx(rate, rel=1e-12)
 
 
 def test_words_are_the_same_from_texts_with_and_without_other_letters(spark):
